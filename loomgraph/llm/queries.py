@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from loomgraph.llm.decontaminate import op8_decontaminate
+from loomgraph.llm.mixing import op9_mixing
+from loomgraph.llm.sharding import op4_sharding
+from loomgraph.llm.simhash import op1_simhash
+from loomgraph.llm.tokencount import op10_token_counts
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op4_sharding": op4_sharding,
     "op8_decontaminate": op8_decontaminate,
+    "op9_mixing": op9_mixing,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES = {
@@ -37,5 +45,34 @@ place AS (
 SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op9_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce('s' || source, '') AS src, md5('mix-0|' || coalesce(doc_id::VARCHAR, '')) AS h,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n, coalesce(text, '') AS text
+  FROM documents
+), k AS (SELECT *, (('0x' || h[1:8])::BIGINT % 1024) AS b FROM d),
+tok AS (SELECT src, sum(n)::BIGINT AS t FROM k GROUP BY src),
+corpus AS (SELECT sum(t)::DOUBLE AS total, count(*) FILTER (t > 0) AS live FROM tok),
+grid AS (SELECT unnest(range(0, 4097)) AS g),
+raised AS (SELECT g, src, t, pow(t / total, g / 4096.0) AS r FROM grid, tok, corpus WHERE t > 0),
+w AS (SELECT g, src, t, r / sum(r) OVER (PARTITION BY g) AS w FROM raised),
+per AS (SELECT g, -sum(w * ln(w)) AS e, max(w * total / t) AS reps FROM w, corpus GROUP BY g),
+chosen AS (
+  SELECT greatest(coalesce((SELECT max(g) FROM per WHERE e >= CASE WHEN live > 1 THEN 0.95 * ln(live) ELSE 0 END), 0),
+    coalesce((SELECT min(g) FROM per WHERE reps <= 4.0), 4096)) AS g FROM corpus
+), plan AS (
+  SELECT tok.src, coalesce(w.w, 0.0) AS weight, floor(coalesce(w.w * total / w.t, 1.0) + 1e-9)::INTEGER AS whole,
+    round(greatest(0.0, coalesce(w.w * total / w.t, 1.0) - floor(coalesce(w.w * total / w.t, 1.0) + 1e-9)) * tok.t)::BIGINT AS part
+  FROM tok CROSS JOIN corpus LEFT JOIN (SELECT w.* FROM w JOIN chosen USING (g)) w ON w.src = tok.src
+), blocks AS (
+  SELECT src, b, sum(sum(n)) OVER (PARTITION BY src ORDER BY md5('mix-0|pass|' || src || '|' || b::VARCHAR), b) - sum(n) AS before
+  FROM k GROUP BY src, b
+), placed AS (
+  SELECT *, sum(n) OVER (PARTITION BY src, b ORDER BY h, n, text ROWS UNBOUNDED PRECEDING) AS upto FROM k
+)
+SELECT doc_id, source, n AS n_tokens, round(weight, 9) AS weight,
+  (whole + CASE WHEN n > 0 AND before + upto <= part THEN 1 ELSE 0 END)::INTEGER AS copies, h AS pass_order
+FROM placed JOIN blocks USING (src, b) JOIN plan USING (src)
 """,
 }
