@@ -3,20 +3,32 @@
 from __future__ import annotations
 
 from loomgraph.llm.decontaminate import op8_decontaminate
+from loomgraph.llm import licenses
+from loomgraph.llm.langid import op7_language_id
+from loomgraph.llm.licenses import op3_licenses
 from loomgraph.llm.mixing import op9_mixing
+from loomgraph.llm.paragraphs import op2_fingerprints
 from loomgraph.llm.sharding import op4_sharding
 from loomgraph.llm.simhash import op1_simhash
 from loomgraph.llm.tokencount import op10_token_counts
+from loomgraph.llm.toxicity import op5_toxicity
+from loomgraph.llm.urlrules import op6_urls
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_fingerprints": op2_fingerprints,
+    "op3_licenses": op3_licenses,
     "op4_sharding": op4_sharding,
+    "op5_toxicity": op5_toxicity,
+    "op6_urls": op6_urls,
+    "op7_language_id": op7_language_id,
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLES = {
+    "op3_licenses": licenses.oracle(),
     "op8_decontaminate": r"""
 WITH w AS (
   SELECT doc_id, ws FROM (
