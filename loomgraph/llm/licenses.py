@@ -84,6 +84,8 @@ def array(items: list[str]) -> str:
 
 def corpus_order(docs: DataFrame, text_col: str, tokens: set[str]) -> dict[str, int]:
     """How often each of the tokens occurs in the whole corpus; counted per task first."""
+    if not tokens:
+        return {}
     found = docs.select(F.explode(F.expr(f"filter({words(folded(text_col))}, w -> w in ({', '.join(repr(t) for t in sorted(tokens))}))")).alias("w"))
     counts = dict.fromkeys(tokens, 0)
     counts.update((r["w"], r["count"]) for r in found.groupBy("w").count().collect())
