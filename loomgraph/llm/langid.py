@@ -9,7 +9,7 @@ Prediction covers every whole text in one pass, without a shuffle.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; so is
 every text where nothing can be learned from (an empty or unlabelled table); rows
-with a null lang or text are not learned from; ties of the score go to the
+with a null id, lang or text are not learned from, and of an id that repeats one text is; ties of the score go to the
 first language by name; columns named like an output are replaced.
 """
 
@@ -129,23 +129,26 @@ def fit(rows: list[tuple[str, str]], df: np.ndarray, n_docs: int) -> dict | None
     return {"names": names, "idf": idf.astype(np.float32), "w": w.astype(np.float32), "temperature": t}
 
 
-def sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list[tuple[str, str]]:
-    """At most per_language (text, lang) rows of each language, by the least hashes of the
-    ids; the texts are read for the chosen ids only."""
-    light = rows.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l")).where("l is not null")
-    # a bounded number of rows leaves each task before the languages meet: buckets of the hash
-    mixed = light.withColumn("h", F.xxhash64("i"))
-    first = mixed.withColumn("s", F.spark_partition_id())
-    near = first.withColumn("r", F.row_number().over(Window.partitionBy("l", "s").orderBy("h", "i"))).where(F.col("r") <= per_language)
-    chosen = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).where(F.col("r") <= per_language).select("i").distinct()
-    ids = [r["i"] for r in chosen.collect()]  # at most languages * per_language
+def below(key: Column, fraction: Column | float) -> Column:
+    """Whether the key's hash is in the lowest such fraction of all hashes."""
+    return F.pmod(key, F.lit(1 << 40)) < F.lit(float(1 << 40)) * fraction
+
+
+def sample(rows: DataFrame, counts: dict[str, int], id_col: str, text_col: str, lang_col: str, per_language: int) -> list[tuple[str, str]]:
+    """At most per_language (text, lang) rows of each language (counts: its rows), by the least
+    hashes of the ids; the texts are read for the chosen ids only."""
+    # twice as many as are wanted pass a hash threshold, so few rows of a language meet
+    fraction = F.create_map(*(F.lit(x) for n, c in counts.items() for x in (n, min(1.0, 2 * per_language / c + 64 / c))))
+    light = rows.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l")).where("i is not null").withColumn("k", F.xxhash64("i"))
+    light = light.where(below(F.col("k"), fraction[F.col("l")])).distinct().withColumn("h", F.pmod("k", F.lit(1 << 40)))
+    near = light.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).where(F.col("r") <= per_language)
+    ids = [r["i"] for r in near.select("i").distinct().collect()]  # at most languages * per_language
     if not ids:
         return []
-    spark = rows.sparkSession
-    wanted = spark.createDataFrame([(i,) for i in ids], rows.select(F.col(id_col).alias("__i")).schema)
-    texts = rows.join(F.broadcast(wanted), F.col(id_col).eqNullSafe(F.col("__i")), "left_semi")
-    got = texts.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col)
-    return [(r[1], r[2]) for r in sorted(got.collect(), key=lambda r: (str(r[0]), r[2], r[1]))]
+    wanted = rows.sparkSession.createDataFrame([(i,) for i in ids], rows.select(F.col(id_col).alias("__i")).schema)
+    texts = rows.join(F.broadcast(wanted), F.col(id_col) == F.col("__i"), "left_semi").where(F.col(text_col).isNotNull())
+    got = texts.groupBy(id_col, lang_col).agg(F.min(text_col))  # an id may repeat, and often
+    return [(r[2], r[1]) for r in sorted(got.collect(), key=lambda r: (str(r[0]), r[1]))]
 
 
 def frequencies(rows: DataFrame, text_col: str, size: int = SLOTS) -> tuple[np.ndarray, int]:
@@ -174,9 +177,11 @@ def frequencies(rows: DataFrame, text_col: str, size: int = SLOTS) -> tuple[np.n
 
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> dict | None:
     top = rows.where(F.col(lang_col).isNotNull()).groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES)
-    names = [r[0] for r in top.collect()]
-    known = rows.where(F.col(lang_col).isin(names)) if names else rows.limit(0)
-    texts = sample(known, id_col, text_col, lang_col, per_language)
+    counts = {r[0]: r[1] for r in top.collect()}
+    if not counts:
+        return None
+    known = rows.where(F.col(lang_col).isin([*counts]))
+    texts = sample(known, counts, id_col, text_col, lang_col, per_language)
     if not texts:
         return None
     df, n = frequencies(known, text_col)

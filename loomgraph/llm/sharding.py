@@ -37,11 +37,13 @@ OUT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 def sample_keys(keyed: DataFrame, n: int, salt: int) -> np.ndarray:
     """n keys drawn with chances in proportion to __size, as an array of (hash, id) rows.
 
-    Each record draws u^(1/size) from its key's hash; the n greatest are kept,
-    which every task does for its own rows first.
+    Each record draws -ln(u) / size from its key's hash, and the n least are kept. A
+    threshold under which about twice as many lie goes first, so that few rows meet.
     """
+    total = keyed.agg(F.sum("__size")).first()[0] or 1
     u = (F.pmod(F.xxhash64(F.lit(salt), "__h", "__id"), F.lit(1 << 52)).cast("double") + 1) / F.lit(float((1 << 52) + 1))
-    drawn = keyed.select("__h", "__id", (-F.log(u) / F.col("__size")).alias("w")).orderBy("w", "__h", "__id").limit(n)
+    drawn = keyed.select("__h", "__id", (-F.log(u) / F.col("__size")).alias("w")).where(F.col("w") < (2 * n + 64) / total)
+    drawn = drawn.orderBy("w", "__h", "__id").limit(n)
     rows = [(r["__h"], r["__id"]) for r in drawn.collect()]
     return np.array(sorted(set(rows)), np.int64).reshape(-1, 2)
 
