@@ -2,15 +2,16 @@
 
 Examples: a bounded sample of labelled rows, at most EXAMPLES of each label, by the
 least hashes of their ids. Terms are whole words, and word beginnings where a
-language builds words from stems; those that tell the examples' labels apart (a
-chi-square of SIGNIFICANT at least) span the space. Their document frequencies are
-counted over all documents.
+language builds words from stems; those that go with toxic examples (a chi-square of
+SIGNIFICANT at least) span the space. Their document frequencies are counted over
+all documents.
 
-Index: for each term, the examples' weights, in blocks of BLOCK examples, with the
-block's greatest weight. A query sums its terms' block maxima first: an upper
-bound of the cosine in each block. The blocks of the greatest bounds are scored, which
-gives a threshold at the k-th best; every other block whose bound is not below the
-threshold is scored too. So the k nearest are exact, and most blocks are not read.
+Index: for each term, the examples' weights, in blocks of BLOCK examples that have
+their weightiest term in common where they can, with the block's greatest weight. A
+query sums its terms' block maxima first: an upper bound of the cosine in each
+block. The blocks of the greatest bounds are scored, which gives a threshold at the
+k-th best; every other block whose bound is not below the threshold is scored
+too. So the k nearest are exact, and most blocks are not read.
 
 Score: the neighbours' votes, weighted by a power of the cosine, then a logistic
 curve fitted to further labelled rows outside the examples. The evidence column
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm.common import append, by_value, table, utf8
-from loomgraph.llm.langid import remainder
-from loomgraph.runtime import bound_batches
+from loomgraph.llm.langid import below, remainder
+from loomgraph.runtime import bound_batches, cut
 
 #: Labelled rows of each label that serve as examples, and as many again, of both
 #: labels as they come, that the curve is fitted to.
@@ -66,7 +67,7 @@ def counted(found: list[bytes], vocab: dict[bytes, int], size: int) -> tuple[np.
 
 
 def telling(rows: list[list[bytes]], labels: list[int]) -> list[bytes]:
-    """The terms whose presence goes with the label, sorted."""
+    """The terms whose presence goes with label 1, sorted."""
     seen: dict[bytes, list[int]] = {}
     for r, y in zip(rows, labels):
         for t in set(r):
@@ -76,7 +77,7 @@ def telling(rows: list[list[bytes]], labels: list[int]) -> list[bytes]:
     out = []
     for t, (a, b) in seen.items():
         spread = (a + b) * (n - a - b) * ones * zeros
-        if spread and n * (b * (zeros - a) - a * (ones - b)) ** 2 / spread >= SIGNIFICANT:
+        if b * zeros > a * ones and n * (b * (zeros - a) - a * (ones - b)) ** 2 / spread >= SIGNIFICANT:
             out.append(t)
     return sorted(out)
 
@@ -84,19 +85,21 @@ def telling(rows: list[list[bytes]], labels: list[int]) -> list[bytes]:
 class Index:
     """Block-max inverted index of the examples.
 
-    `dense` holds the posting lists as one row of weights a term (examples are
-    bounded); `top` their block maxima.
+    `blocks` holds the posting lists, a matrix of terms by BLOCK examples for each
+    block (examples and terms are bounded); `top` the block maxima.
     """
 
     def __init__(self, vocab: dict[bytes, int], idf: np.ndarray, rows: list[list[bytes]], labels: np.ndarray, names: list[str]):
-        self.vocab, self.idf, self.labels, self.names = vocab, idf.astype(np.float32), labels, names
-        blocks = -(-max(1, len(rows)) // BLOCK)
-        self.dense = np.zeros((max(1, len(vocab)), blocks * BLOCK), np.float32)
-        for i, found in enumerate(rows):
-            at, x = self.vector(found)
-            self.dense[at, i] = x
-        self.top = self.dense.reshape(-1, blocks, BLOCK).max(axis=2)
-        self.count = len(rows)
+        self.vocab, self.idf = vocab, idf.astype(np.float32)
+        made = [self.vector(found) for found in rows]
+        weightiest = [int(at[x.argmax()]) if at.size else len(vocab) for at, x in made]
+        order = sorted(range(len(rows)), key=lambda i: (weightiest[i], -int(labels[i]), i))
+        self.labels, self.names, self.count = labels[order] if len(rows) else labels, [names[i] for i in order], len(rows)
+        self.blocks = np.zeros((-(-max(1, len(rows)) // BLOCK), max(1, len(vocab)), BLOCK), np.float32)
+        for place, i in enumerate(order):
+            at, x = made[i]
+            self.blocks[place // BLOCK, at, place % BLOCK] = x
+        self.top = np.ascontiguousarray(self.blocks.max(axis=2).T)
 
     def vector(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """TF-IDF of length one over the known terms."""
@@ -105,34 +108,32 @@ class Index:
         norm = float(np.sqrt(x @ x))
         return at, x / norm if norm > 0 else x
 
-    def nearest(self, found: list[bytes], k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, found: list[bytes], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the greatest positive cosine, and the cosines."""
         at, x = self.vector(found)
         if not at.size or not self.count:
             return np.zeros(0, np.int64), np.zeros(0, np.float32)
         bound = x @ self.top[at]
         order = np.argsort(-bound, kind="stable")
-        most = min(FIRST, order.size)
-        ids, cos = self._score(order[:most], at, x, skip)
-        while most < order.size:
-            floor = np.partition(cos, -k)[-k] if cos.size >= k else 0.0
-            left = order[most:]
-            left = left[bound[left] >= max(float(floor) - 1e-6, 1e-9)]
+        order = order[bound[order] > 0]
+        done = min(FIRST, order.size)
+        ids, cos = self._score(order[:done], at, x)
+        while done < order.size:
+            floor = float(np.partition(cos, -k)[-k]) if cos.size >= k else 0.0
+            left = order[done : 2 * done]  # as many again: the threshold rises between
+            left = left[bound[left] >= floor - 1e-6]
             if not left.size:
                 break
-            left = left[: most]  # as many again: the threshold rises between
-            more, c = self._score(left, at, x, skip)
-            ids, cos, most = np.append(ids, more), np.append(cos, c), most + left.size
+            more, c = self._score(left, at, x)
+            ids, cos, done = np.append(ids, more), np.append(cos, c), 2 * done
         keep = cos > 0
         ids, cos = ids[keep], cos[keep]
         best = np.lexsort((ids, -cos))[:k]
         return ids[best], cos[best]
 
-    def _score(self, blocks: np.ndarray, at: np.ndarray, x: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        ids = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        cos = x @ self.dense[at[:, None], ids]
-        keep = (ids < self.count) & (ids != skip)
-        return ids[keep], cos[keep]
+    def _score(self, blocks: np.ndarray, at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cos = np.concatenate([x @ self.blocks[b][at] for b in blocks.tolist()]) if blocks.size else np.zeros(0, np.float32)
+        return (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel(), cos
 
 
 def vote(cos: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -161,14 +162,21 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, n_e
     """The sampled rows (id, text, label): examples, and those for the curve. Ids are chosen
     from the labels alone; texts are read for the chosen ids only."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
-    known = known.join(docs.select(id_col).distinct(), id_col, "left_semi").withColumn("h", F.xxhash64(id_col))
-    take = lambda df, n: [(r[id_col], r["toxic"]) for r in df.orderBy("h", id_col).limit(n).collect()]
-    chosen = take(known.where("toxic > 0"), n_each + n_each // 2), take(known.where("toxic = 0"), n_each)
-    toxic, clean = chosen
+    known = known.join(docs.select(id_col).distinct(), id_col, "left_semi").withColumn("toxic", (F.col("toxic") > 0).cast("int"))
+    known = cut(known.withColumn("k", F.xxhash64(id_col)).withColumn("h", F.pmod("k", F.lit(1 << 40))))
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+
+    def take(label: int, n: int) -> list[tuple]:
+        """The n rows of a label with the least hashes: a threshold lets about twice as many pass first."""
+        have = counts.get(label, 0)
+        few = known.where((F.col("toxic") == label) & below(F.col("k"), min(1.0, (2 * n + 64) / max(1, have))))
+        return [(r[id_col], r["toxic"]) for r in few.orderBy("h", id_col).limit(n).collect()]
+
+    toxic, clean = take(1, n_each + n_each // 2), take(0, n_each)
     # a third of the sampled toxic rows are kept back for the curve
     back = toxic[: len(toxic) // 3]
     toxic = toxic[len(toxic) // 3 :]
-    fitted = take(known.where("toxic = 0"), n_each + n_fit)[len(clean) :]
+    fitted = take(0, n_each + n_fit)[len(clean) :]
     if not fitted and clean:
         fitted, clean = clean[: len(clean) // 3 + 1], clean[len(clean) // 3 + 1 :]
     label = dict(toxic) | dict(clean) | dict(back) | dict(fitted)
@@ -177,9 +185,8 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, n_e
     spark = docs.sparkSession
     ids = spark.createDataFrame([(i,) for i in label], docs.select(F.col(id_col).alias("__i")).schema)
     rows = docs.join(F.broadcast(ids), docs[id_col] == ids["__i"], "left_semi").where(F.col(text_col).isNotNull())
-    texts = {}
-    for r in rows.select(id_col, F.col(text_col).cast("binary").alias("t")).collect():
-        texts[r[0]] = min(texts.get(r[0], bytes(r["t"])), bytes(r["t"]))
+    least = rows.groupBy(id_col).agg(F.min(F.col(text_col).cast("binary")).alias("t"))  # an id may repeat, and often
+    texts = {r[0]: bytes(r["t"]) for r in least.collect()}
     pick = lambda some: [(i, texts[i], int(y > 0)) for i, y in some if i in texts]
     return pick(toxic + clean), pick(back + fitted)
 
@@ -219,9 +226,7 @@ def train(docs: DataFrame, learn: DataFrame, labels: DataFrame, id_col: str = "d
     vocab = {t: i for i, t in enumerate(telling(rows, [y for *_, y in examples]))}
     df, n = frequencies(docs, text_col, vocab)
     idf = np.log((1 + n) / (1 + df))
-    # like stand with like, so that a block's maxima are near its members' weights
-    order = sorted(range(len(rows)), key=lambda i: (-examples[i][2], len(rows[i]), i))
-    index = Index(vocab, idf, [rows[i] for i in order], np.array([examples[i][2] for i in order]), [str(examples[i][0]) for i in order])
+    index = Index(vocab, idf, rows, np.array([y for *_, y in examples]), [str(i) for i, *_ in examples])
     x, y = [], []
     for _, text, label in fitted:
         ids, cos = index.nearest(terms(text))
