@@ -217,7 +217,7 @@ t AS (SELECT id, min(depth)::BIGINT AS depth FROM r GROUP BY id)
 """
 
 
-@query("gc21_reachable", """, s AS (SELECT min(id) AS s FROM mv), f AS (SELECT * FROM ms WHERE src % 7 <> 1 AND dst % 7 <> 1),
+@query("gc21_reachable", """, s AS (SELECT min(id) AS s FROM mv), f AS (SELECT ms.* FROM ms, s WHERE (src % 7 <> 1 OR src = s) AND (dst % 7 <> 1 OR dst = s)),
 r AS (SELECT s AS id FROM s UNION SELECT dst FROM r JOIN f ON src = id) SELECT id FROM r""", True)
 def _(spark, sf):
     g = month(spark, sf).cut()
@@ -375,10 +375,10 @@ _order("ord7_hubs_clustered_packed", orderings.hubs_clustered_packed, "(d > a)::
 _FILL = """,
 hub AS (SELECT id, row_number() OVER (ORDER BY {key}) - 1 AS r FROM dd, avgd WHERE d > a),
 h AS (SELECT count(*) AS h FROM hub),
-swap AS (SELECT hub.r AS id, hub.id AS at FROM hub, h WHERE hub.id >= h AND hub.r NOT IN (SELECT id FROM hub)),
-free AS (SELECT hub.id AS at, row_number() OVER (ORDER BY hub.id) AS k FROM hub, h WHERE hub.id >= h AND hub.id NOT IN (SELECT at FROM swap)),
+swap AS (SELECT hub.r AS id, hub.id AS pos FROM hub, h WHERE hub.id >= h AND hub.r NOT IN (SELECT id FROM hub)),
+free AS (SELECT hub.id AS pos, row_number() OVER (ORDER BY hub.id) AS k FROM hub, h WHERE hub.id >= h AND hub.id NOT IN (SELECT pos FROM swap)),
 lost AS (SELECT dv.id, row_number() OVER (ORDER BY dv.id) AS k FROM dv, h WHERE dv.id < h AND dv.id NOT IN (SELECT id FROM hub) AND dv.id NOT IN (SELECT id FROM swap))
-SELECT id AS old_id, r::BIGINT AS new_id FROM hub UNION ALL SELECT id, at::BIGINT FROM swap UNION ALL SELECT lost.id, at::BIGINT FROM lost JOIN free USING (k)
+SELECT id AS old_id, r::BIGINT AS new_id FROM hub UNION ALL SELECT id, pos::BIGINT FROM swap UNION ALL SELECT lost.id, pos::BIGINT FROM lost JOIN free USING (k)
 UNION ALL SELECT dv.id, dv.id FROM dv, h WHERE dv.id >= h AND dv.id NOT IN (SELECT id FROM hub)
 """
 
@@ -555,7 +555,7 @@ def _(spark, sf):
 
 @query("f2_extended")
 def _(spark, sf):
-    row = features.extended(dense_users(spark, sf).cut())
+    row = features.extended(parts(spark, sf).cut())
     return row.select(*(F.round(c, 9).alias(c) for c in row.columns))
 
 
@@ -616,7 +616,7 @@ def _(spark, sf):
     return metrics.performance_matrix(runs)
 
 
-@query("fn_scalar", ", x AS (SELECT DISTINCT o_custkey AS k FROM orders) SELECT k, (2 * k)::BIGINT AS zigzag, (2 * k - 1)::BIGINT AS zigzag_negative, (CASE WHEN k = 0 THEN 1 ELSE floor(log2(k) / 7) + 1 END)::INT AS varint_bytes FROM x")
+@query("fn_scalar", ", x AS (SELECT DISTINCT o_custkey AS k FROM orders) SELECT k, (2 * k)::BIGINT AS zigzag, greatest(0, 2 * k - 1)::BIGINT AS zigzag_negative, (CASE WHEN k = 0 THEN 1 ELSE floor(log2(k) / 7) + 1 END)::INT AS varint_bytes FROM x")
 def _(spark, sf):
     k = tables.table(spark, sf, "orders").select(F.col("o_custkey").alias("k")).distinct()
     return k.select("k", zigzag(F.col("k")).alias("zigzag"), zigzag(-F.col("k")).alias("zigzag_negative"), varint_bytes(F.col("k")).alias("varint_bytes"))
@@ -698,8 +698,8 @@ def _(spark, sf):
     return cache.hierarchy(cache.gather_trace(g), levels).withColumn("miss_rate", F.round("miss_rate", 9))
 
 
-@query("cs4_reuse_gaps", DENSE + """, t AS (SELECT (sum(d) OVER (ORDER BY id) - d) AS s, id FROM dd), a AS (SELECT t.s + row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS at, dst * 4 // 64 AS l FROM ue JOIN t ON t.id = src),
-g AS (SELECT at - lag(at) OVER (PARTITION BY l ORDER BY at) AS gap FROM a) SELECT gap::BIGINT AS gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY gap""")
+@query("cs4_reuse_gaps", DENSE + """, t AS (SELECT (sum(d) OVER (ORDER BY id) - d) AS s, id FROM dd), a AS (SELECT t.s + row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS pos, dst * 4 // 64 AS l FROM ue JOIN t ON t.id = src),
+g AS (SELECT pos - lag(pos) OVER (PARTITION BY l ORDER BY pos) AS gap FROM a) SELECT gap::BIGINT AS gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY gap""")
 def _(spark, sf):
     return cache.reuse_gaps(cache.gather_trace(dense_users(spark, sf)))
 
