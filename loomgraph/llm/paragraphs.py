@@ -34,11 +34,11 @@ from loomgraph.runtime import partitions
 #: Characters of a paragraph's first piece.
 FIRST = 32
 #: Cells of the fingerprint, and of a group's sketch in the further attempts; multiples of three.
-BASE, LARGER = 12, (24, 48, 96)
-#: Digests of both texts in a group.
-GROUP = 12
+BASE, LARGER = 12, (18, 54)
+#: Digests of both texts in a group, on average.
+GROUP = 8
 ROUNDS = 12
-#: Boundaries of the ranges of ids are sent to the driver: four a partition, and no more than this.
+#: Boundaries of the ranges of ids are sent to the driver: two a partition, and no more than this.
 MOST_RANGES = 4096
 
 
@@ -51,15 +51,18 @@ def digests(text: str) -> str:
     return f"array_distinct(flatten(transform(filter(split({text}, '\\n'), p -> length(p) > 0), p -> {pieces})))"
 
 
-def _hit(d: str, cell: str, width: int) -> str:
-    """SQL: whether digest d belongs in the cell; row j of the sketch is cells j * width onwards."""
-    return f"pmod(shiftright({d}, 14 * ({cell} div {width})) & 16383, {width}) = {cell} % {width}"
+def entries(array: str, sign: int | str, count: int) -> str:
+    """SQL: the digests with their sign s, check hash x, and a cell in each row of a sketch of `count` cells."""
+    w = count // 3
+    place = lambda j: f"cast(pmod(shiftright(d, {14 * j}) & 16383, {w}) as int)"
+    return f"transform({array}, d -> named_struct('d', d, 's', {sign}, 'x', xxhash64(d, 7L), 'p', {place(0)}, 'q', {place(1)}, 'r', {place(2)}))"
 
 
-def cells(entries: str, count: int) -> str:
-    """SQL: the sketch of an array of (d, s) entries, s the sign."""
-    add = f"if({_hit('e.d', 'c', count // 3)}, named_struct('n', a.n + e.s, 'k', a.k ^ e.d, 'x', a.x ^ xxhash64(e.d, 7L)), a)"
-    return f"transform(sequence(0, {count - 1}), c -> aggregate({entries}, named_struct('n', 0, 'k', 0L, 'x', 0L), (a, e) -> {add}))"
+def cells(made: str, count: int) -> str:
+    """SQL: the sketch of an array of entries, its three rows one after the other."""
+    add = "(a, e) -> named_struct('n', a.n + e.s, 'k', a.k ^ e.d, 'x', a.x ^ e.x)"
+    row = lambda f: f"transform(sequence(0, {count // 3 - 1}), c -> aggregate(filter(made, e -> e.{f} = c), named_struct('n', 0, 'k', 0L, 'x', 0L), {add}))"
+    return f"element_at(transform(array({made}), made -> concat({row('p')}, {row('q')}, {row('r')})), 1)"
 
 
 def subtract(a: str, b: str) -> str:
@@ -68,28 +71,30 @@ def subtract(a: str, b: str) -> str:
 
 def peeled(sketch: str, count: int) -> str:
     """SQL: how many digests differ, by peeling a subtracted sketch; null if it fails."""
-    pure = "array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 and c.x = xxhash64(c.k, 7L)), c -> named_struct('n', c.n, 'k', c.k)))"
-    out = f"if({_hit('p.k', 'i', count // 3)}, named_struct('n', a.n - p.n, 'k', a.k ^ p.k, 'x', a.x ^ xxhash64(p.k, 7L)), a)"
-    taken = f"transform(t.cells, (c, i) -> aggregate(pure, c, (a, p) -> {out}))"
-    turn = f"if(size(pure) = 0, t, named_struct('cells', {taken}, 'got', t.got + size(pure)))"
-    rounds = f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {sketch}, 'got', 0), (s, r) -> aggregate(array({pure}), s, (t, pure) -> {turn}))"
+    w = count // 3
+    found = "array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 and c.x = xxhash64(c.k, 7L)), c -> named_struct('n', c.n, 'k', c.k)))"
+    place = lambda j: f"cast(pmod(shiftright(c.k, {14 * j}) & 16383, {w}) as int) + {j * w}"
+    pure = f"transform({found}, c -> named_struct('n', c.n, 'k', c.k, 'x', xxhash64(c.k, 7L), 'p', {place(0)}, 'q', {place(1)}, 'r', {place(2)}))"
+    out = "(a, p) -> named_struct('n', a.n - p.n, 'k', a.k ^ p.k, 'x', a.x ^ p.x)"
+    taken = f"transform(t.cells, (c, i) -> aggregate(filter(pure, p -> i = p.p or i = p.q or i = p.r), c, {out}))"
+    turn = f"if(size(pure) = 0, named_struct('cells', t.cells, 'got', t.got, 'on', false), named_struct('cells', {taken}, 'got', t.got + size(pure), 'on', true))"
+    step = f"(s, r) -> if(s.on, aggregate(array({pure}), s, (t, pure) -> {turn}), s)"
+    rounds = f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {sketch}, 'got', 0, 'on', true), {step})"
     done = "forall(z.cells, c -> c.n = 0 and c.k = 0L and c.x = 0L)"
     return f"element_at(transform(array({rounds}), z -> if({done}, z.got, cast(null as int))), 1)"
 
 
-def signed(array: str, sign: int) -> str:
-    return f"transform({array}, d -> named_struct('d', d, 's', {sign}))"
-
-
 def differing(a: str, b: str, base_a: str, base_b: str) -> str:
     """SQL: how many digests are in one of the arrays a and b only."""
-    group = "filter(both, e -> pmod(e.d, groups) = g)"
-    tries = ", ".join(f"element_at(transform(array(own), own_ -> {peeled(cells('own_', n), n)}), 1)" for n in LARGER)
-    exact = "size(array_except(transform(filter(own, e -> e.s = 1), e -> e.d), transform(filter(own, e -> e.s = -1), e -> e.d))) + size(array_except(transform(filter(own, e -> e.s = -1), e -> e.d), transform(filter(own, e -> e.s = 1), e -> e.d)))"
-    one = f"aggregate(array({group}), 0, (z, own) -> if(size(own) = 0, 0, coalesce({tries}, {exact})))"
+    dealt = "filter({0}, d -> pmod(d, groups) = g)"
+    tries = ", ".join(peeled(cells(f"concat({entries('u', 1, n)}, {entries('v', -1, n)})", n), n) for n in LARGER)
+    exact = "size(array_except(u, v)) + size(array_except(v, u))"
+    one = f"aggregate(array(named_struct('u', {dealt.format('both.a')}, 'v', {dealt.format('both.b')})), 0, (z, own) -> aggregate(array(own.u), 0, (z2, u) -> aggregate(array(own.v), 0, (z3, v) -> if(size(u) + size(v) = 0, 0, coalesce({tries}, {exact})))))"
     all_ = f"aggregate(sequence(0, groups - 1), 0, (sum, g) -> sum + {one})"
-    whole = f"aggregate(array(concat({signed(a, 1)}, {signed(b, -1)})), 0, (z0, both) -> aggregate(array(cast(ceil(size(both) / {GROUP}.0) as int)), 0, (z1, groups) -> if(groups = 0, 0, {all_})))"
-    return f"coalesce({peeled(subtract(base_a, base_b), BASE)}, {whole})"
+    groups = f"cast(ceil((size(both.a) + size(both.b)) / {GROUP}.0) as int)"
+    whole = f"aggregate(array(named_struct('a', {a}, 'b', {b})), 0, (z0, both) -> aggregate(array({groups}), 0, (z1, groups) -> if(groups = 0, 0, {all_})))"
+    # a sketch gives back no more digests than it has cells: do not try where the counts alone differ by more
+    return f"coalesce(if(abs(size({a}) - size({b})) > {BASE}, null, {peeled(subtract(base_a, base_b), BASE)}), {whole})"
 
 
 def likeness(a: str, b: str, base_a: str, base_b: str) -> Column:
@@ -118,14 +123,15 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     least = -(1 << 63)
     keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(least)))
-    n = min(MOST_RANGES, 4 * partitions(spark))
+    n = min(MOST_RANGES, 2 * partitions(spark))
     ids = keyed.select("__key")
     at = ids.agg(F.percentile_approx("__key", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] if n > 1 else []
     bounds = sorted({b for b in at or [] if b > least})
     ranges = keyed.withColumn("__range", F.expr(_bucket(bounds, "__key")))
     firsts = sorted((r["__range"], r["k"]) for r in ids.withColumn("__range", F.expr(_bucket(bounds, "__key"))).groupBy("__range").agg(F.min("__key").alias("k")).collect())
     before = [(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)]
-    sent = F.broadcast(spark.createDataFrame(before or [(0, 0)], "__key long, __to int"))  # a row a range: bounded
+    listed = ", ".join(f"(cast('{k}' as bigint), {r})" for k, r in before or [(0, 0)])
+    sent = F.broadcast(spark.sql(f"select * from values {listed} as t(__key, __to)"))  # a row a range: bounded
     own = F.struct(F.col("__range").alias("r"), F.lit(0).alias("last"))
     copy = F.struct(F.col("__to").alias("r"), F.lit(1).alias("last"))
     return (
@@ -144,14 +150,14 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     rows = with_next(docs.select(id_col, text_col), id_col, text_col).drop(text_col)
     rows = rows.repartition(partitions(docs.sparkSession), "__range")
-    rows = rows.withColumn("__d", F.expr(digests("__t"))).withColumn("__c", F.expr(cells(signed("__d", 1), BASE)))
+    rows = rows.withColumn("__d", F.expr(digests("__t"))).withColumn("__c", F.expr(cells(entries("__d", 1, BASE), BASE)))
     order = Window.partitionBy("__range").orderBy("__last", "__key", "__t")
     ahead = rows.withColumns({f"__next{c}": F.lead(f"__{c}").over(order) for c in "tdc"}).where("__last = 0")
     edited = ahead.withColumn("n_chars", F.length("__t").cast("long")).withColumn(
         "__e", F.expr("concat(left(__t, cast(n_chars - n_chars div 4 as int)), left(__nextt, cast(n_chars div 4 as int)))")
     )
     # the edited text is used several times: made once
-    edited = edited.withColumn("__ed", F.expr(digests("__e"))).withColumn("__ec", F.expr(cells(signed("__ed", 1), BASE)))
+    edited = edited.withColumn("__ed", F.expr(digests("__e"))).withColumn("__ec", F.expr(cells(entries("__ed", 1, BASE), BASE)))
     return edited.select(
         id_col,
         "n_chars",
