@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
 from loomgraph.operators.construct import offsets
+from loomgraph.runtime import by_value
 
 POLICIES = ("lru", "fifo", "random", "lfu", "plru", "srrip", "grasp", "popt")
 LFU_HALVING = 1024
@@ -130,3 +131,6 @@ def epochs(trace: DataFrame, length: int, line: int = 64) -> DataFrame:
     """(line, epoch, next_epoch): in which epoch of the sweep a line is used next after each epoch it is used in."""
     used = trace.select(F.floor(F.col("address") / line).alias("line"), F.floor(F.col("at") / length).alias("epoch")).distinct()
     return used.withColumn("next_epoch", F.lead("epoch").over(Window.partitionBy("line").orderBy("epoch")))
+
+
+by_value(__name__)

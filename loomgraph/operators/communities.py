@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph, numbered
 from loomgraph.operators.construct import degrees
-from loomgraph.runtime import cut
+from loomgraph.runtime import by_value, cut
 
 ROUNDS, PASSES, SHRINK = 10, 10, 0.8
 
@@ -315,3 +315,4 @@ def community_ranks(membership: DataFrame, g: Graph, by: str = "size_desc") -> D
     return numbered(rows, *kinds[by], F.col("community"), name="rank").select("community", "rank")
 
 
+by_value(__name__)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph, numbered
 from loomgraph.operators.construct import degrees
-from loomgraph.runtime import cut
+from loomgraph.runtime import by_value, cut
 
 #: Vertices of a group that one task orders greedily.
 GREEDY = 200_000
@@ -308,3 +308,6 @@ def greedy_window(g: Graph, window: int = 5) -> DataFrame:
     rank = numbered(sizes, F.desc("size"), F.col("community"), name="rank").select("community", "rank")
     lone = degrees(g).where("out_degree + in_degree = 0").select("id")
     return assembled(local, rank, lone)
+
+
+by_value(__name__)

@@ -17,7 +17,8 @@ from loomgraph.graph import Graph, numbered
 from loomgraph.operators import communities as C
 from loomgraph.operators import orderings as O
 from loomgraph.operators.construct import degrees
-from loomgraph.runtime import cut
+from loomgraph.operators.orderings import cuthill_mckee, hub_first_search
+from loomgraph.runtime import by_value, cut
 
 DETECTORS = {
     "leiden": "leiden", "cd_leiden": "leiden", "rabbit": "rabbit", "cd_rabbit": "rabbit", "cd_lp": "lp", "fast": "lp",
@@ -258,7 +259,7 @@ def _far_start(ids: list[int], near: dict[int, list[int]]) -> list[int]:
     """Reverse Cuthill-McKee from a start that ranks well by low degree and by depth from the vertex of
     least degree, improved by at most three searches."""
     if len(ids) <= 32:
-        return O.cuthill_mckee(ids, near)
+        return cuthill_mckee(ids, near)
 
     def depths(root: int) -> dict[int, int]:
         have, queue, i = {root: 0}, [root], 0
@@ -301,14 +302,14 @@ def order_within(g: Graph, member: DataFrame, plan: Plan) -> DataFrame:
     """(id, community, local)."""
     kind = plan.intra_order
     greedy: dict[str, Callable] = {
-        "bfs": O.hub_first_search, "rcm": O.cuthill_mckee, "rcmpp": _far_start, "core": _core_numbers,
+        "bfs": hub_first_search, "rcm": cuthill_mckee, "rcmpp": _far_start, "core": _core_numbers,
         "gorder": O.window_greedy(plan.window, False, plan.fallback), "gorder-faithful": O.window_greedy(plan.window, True, plan.fallback),
     }
     if kind == "dendrogram" and "place" not in member.columns:
         kind = "bfs"
     member = member if kind == "dendrogram" else member.select("id", "community")
     if kind in greedy or plan.swaps:
-        pick = greedy.get(kind, O.hub_first_search)
+        pick = greedy.get(kind, hub_first_search)
         return O.grouped(g, member.select("id", "community"), (lambda i, n: _swapped(pick(i, n), n)) if plan.swaps else pick)
     rows = member.join(degrees(g).select("id", F.col("out_degree").alias("d")), "id")
     if kind == "hub2":
@@ -404,3 +405,6 @@ def same_topology(g: Graph, mapping: DataFrame) -> bool:
     back = relabelled(there, mapping.select(F.col("new_id").alias("old_id"), F.col("old_id").alias("new_id")))
     a, b = g.edges.select("src", "dst", "weight"), back.edges.select("src", "dst", "weight")
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+by_value(__name__)

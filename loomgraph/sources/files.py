@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph, numbered
+from loomgraph.runtime import by_value
 
 
 def _fields(spark: SparkSession, path: str) -> DataFrame:
@@ -156,3 +157,6 @@ def record_runs(runs: DataFrame, path: str) -> None:
 def record_sources(sources: DataFrame, path: str) -> None:
     """A manifest (octile, id) of a graph's chosen sources as JSON lines."""
     sources.coalesce(1).write.mode("overwrite").json(path)
+
+
+by_value(__name__)
