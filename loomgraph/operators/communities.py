@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph, numbered
 from loomgraph.operators.construct import degrees
-from loomgraph.runtime import by_value, cut
+from loomgraph.runtime import by_value
+from loomgraph.runtime import cut_flat as cut
 
 ROUNDS, PASSES, SHRINK = 10, 10, 0.8
 

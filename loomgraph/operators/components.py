@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.runtime import cut
+from loomgraph.runtime import cut_flat as cut
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

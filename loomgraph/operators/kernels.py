@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
 from loomgraph.operators.construct import degree_oriented, degrees
-from loomgraph.runtime import cut
+from loomgraph.runtime import cut_flat as cut
 
 DAMPING = 0.85
 #: Rounds that share a plan before it is cut.

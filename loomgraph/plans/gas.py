@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
-from loomgraph.runtime import cut
+from loomgraph.runtime import cut_flat as cut
 
 
 class VertexProgram(Protocol):

@@ -433,7 +433,7 @@ _greedy("ord1_random", orderings.random)
 _greedy("ord8_rabbit", communities.rabbit)
 _greedy("ord9_greedy_window", orderings.greedy_window)
 _greedy("ord11_cuthill_mckee", orderings.reverse_cuthill_mckee)
-_greedy("ord12_compose_size_bfs", lambda g: compose.ordering(g, "leiden:compose:comm_size_desc:intra_bfs:2:2"))
+_greedy("ord12_compose_size_bfs", lambda g: compose.ordering(g, "leiden:compose:comm_size_desc:intra_bfs:2:1"))
 _greedy("ord12_compose_cut_core", lambda g: compose.ordering(g, "cd_lp:compose:comm_cut_min:intra_core"))
 _greedy("ord12_rabbit_dendrogram", lambda g: compose.ordering(g, "rabbit:compose:comm_degree_desc:intra_dendrogram"))
 _greedy("ord12_community_sort", lambda g: compose.ordering(g, "cd_lp:community"))
@@ -522,9 +522,9 @@ def _detected(name: str, build: Callable[[Graph], DataFrame]) -> None:
         return found.agg(F.count_distinct("id").alias("n")).withColumn("gains", F.lit(q > 0.3))
 
 
-_detected("cd1_leiden", lambda g: communities.leiden(g, 1.0, 3, 4))
+_detected("cd1_leiden", lambda g: communities.leiden(g, 1.0, 2, 2))
 _detected("cd4_incremental", communities.incremental_aggregation)
-_detected("cd7_louvain", lambda g: communities.louvain(g, 1.0, 3, 4)[0])
+_detected("cd7_louvain", lambda g: communities.louvain(g, 1.0, 2, 2)[0])
 _detected("cd8_label_propagation", communities.label_propagation)
 
 

@@ -29,6 +29,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_flat(df: DataFrame) -> DataFrame:
+    """As cut, and forget too how rows are laid out, ordered and constrained.
+
+    A checkpoint hands these on with all equal expressions it knows; in a loop that
+    joins its own result they double with each round, until planning takes longer
+    than the work. Tables that keep a layout on purpose take `cut`.
+    """
+    done = cut(df)
+    spark, plan = df.sparkSession, done._jdf.queryExecution()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), done._jdf.schema(), False), spark)
+
+
 def bound_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Bound the rows of an Arrow batch, as one row may hold a very long text."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
