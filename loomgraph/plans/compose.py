@@ -112,7 +112,7 @@ def parse(tokens: list[str] | str) -> Plan:
             whole.append(int(t))
         elif re.fullmatch(r"[0-9]*\.[0-9]+", t):
             plan = replace(plan, resolution=float(t))
-        elif t in ("graphbrew", "gvecsr", "totalm", "auto", "dynamic", "cd_parallel") or re.fullmatch(r"(sgmb|refine)[0-9]+", t):
+        elif t in ("gvecsr", "totalm", "auto", "dynamic", "cd_parallel") or re.fullmatch(r"(sgmb|refine)[0-9]+", t):
             continue  # of the shared-memory engine: synchronous rounds have no counterpart
         else:
             raise ValueError(f"unknown token {raw!r}")
