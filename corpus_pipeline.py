@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, mixing, sharding, simhash, toxicity
+from loomgraph.llm import decontaminate, mixing, nearcopies, sharding, simhash, toxicity
 from loomgraph.llm.common import table
 from loomgraph.runtime import ensure_checkpoint_dir
 
@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document of the smallest id stays."""
+    return simhash.keep_one(docs, find=nearcopies.near_copies)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

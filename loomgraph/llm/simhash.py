@@ -189,11 +189,11 @@ def near_duplicates(
     return out.select(*(c for c in marked.columns if c != "__fp"), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component: that of the smallest id (null only if all are)."""
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates, **options) -> DataFrame:
+    """One row of each component that `find` gives: that of the smallest id (null only if all are)."""
     keys = {"__h": F.xxhash64(text_col), "__k": F.coalesce(id_col, F.lit(0)), "__n": F.isnull(id_col)}
     held = docs.withColumns(keys)
-    found = near_duplicates(held, id_col, text_col, keep=tuple(keys), **options)
+    found = find(held, id_col, text_col, keep=tuple(keys), **options)
     # of the rows that bear the group's id, those with one of their texts, and of these one
     first = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("__k", "__n", "component_id").agg(F.min("__h").alias("__h"))
     kept = held.join(first.select(*keys), [*keys], "left_semi").dropDuplicates([*keys])
