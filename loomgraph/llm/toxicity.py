@@ -2,14 +2,14 @@
 
 Examples: a bounded sample of labelled rows, at most EXAMPLES of each label, by the
 least hashes of their ids. Terms are whole words, and word beginnings where a
-language builds words from stems; those that go with toxic examples (a chi-square of
-SIGNIFICANT at least) span the space. Their document frequencies are counted over
-all documents.
+language builds words from stems; all terms of the examples span the space. Their
+document frequencies are counted over all documents.
 
 Index: for each term, the examples' weights, in blocks of BLOCK examples that have
-their weightiest term in common where they can, with the block's greatest weight. A
-query sums its terms' block maxima first: an upper bound of the cosine in each
-block. The blocks of the greatest bounds are scored, which gives a threshold at the
+their weightiest term in common where they can. Rare terms have short posting lists,
+which are summed for every example; frequent ones have the block's greatest weight. A
+query sums its frequent terms' block maxima first: with the greatest of the block's
+sums over rare terms, an upper bound of the cosine in each block. The blocks of the greatest bounds are scored, which gives a threshold at the
 k-th best; every other block whose bound is not below the threshold is scored
 too. So the k nearest are exact, and most blocks are not read.
 
@@ -26,6 +26,8 @@ output are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +45,10 @@ NEIGHBOURS = 24
 BLOCK = 32
 #: Block counts scored before the threshold is known.
 FIRST = 4
-#: Bytes of a word's beginnings, and the chi-square from which a term is kept.
-STEMS, SIGNIFICANT = (4, 6), 12.0
+#: Terms of more than this part of the examples are held as a matrix.
+OFTEN = 8
+#: Bytes of a word's beginnings.
+STEMS = (4, 6)
 CUT = 0.3
 
 _FOLD = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -66,40 +70,50 @@ def counted(found: list[bytes], vocab: dict[bytes, int], size: int) -> tuple[np.
     return at, n
 
 
-def telling(rows: list[list[bytes]], labels: list[int]) -> list[bytes]:
-    """The terms whose presence goes with label 1, sorted."""
-    seen: dict[bytes, list[int]] = {}
-    for r, y in zip(rows, labels):
-        for t in set(r):
-            seen.setdefault(t, [0, 0])[y] += 1
-    ones = sum(labels)
-    zeros, n = len(labels) - ones, len(labels)
-    out = []
-    for t, (a, b) in seen.items():
-        spread = (a + b) * (n - a - b) * ones * zeros
-        if b * zeros > a * ones and n * (b * (zeros - a) - a * (ones - b)) ** 2 / spread >= SIGNIFICANT:
-            out.append(t)
-    return sorted(out)
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start .. start + size - 1 of each pair, one after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
 class Index:
-    """Block-max inverted index of the examples.
+    """Block-max inverted index of the examples over all their terms.
 
-    `blocks` holds the posting lists, a matrix of terms by BLOCK examples for each
-    block (examples and terms are bounded); `top` the block maxima.
+    Terms of up to 1 / OFTEN of the examples have posting lists (`ptr`, `who`, `much`), which
+    give their exact part of every cosine. The frequent ones stand in `heavy`, a matrix of
+    frequent terms by BLOCK examples for each block, and `top` has their block maxima.
     """
 
-    def __init__(self, vocab: dict[bytes, int], idf: np.ndarray, rows: list[list[bytes]], labels: np.ndarray, names: list[str]):
+    def __init__(self, vocab: dict[bytes, int], idf: np.ndarray, rows: Iterable[list[bytes]], labels: np.ndarray, names: list[str]):
         self.vocab, self.idf = vocab, idf.astype(np.float32)
         made = [self.vector(found) for found in rows]
         weightiest = [int(at[x.argmax()]) if at.size else len(vocab) for at, x in made]
-        order = sorted(range(len(rows)), key=lambda i: (weightiest[i], -int(labels[i]), i))
-        self.labels, self.names, self.count = labels[order] if len(rows) else labels, [names[i] for i in order], len(rows)
-        self.blocks = np.zeros((-(-max(1, len(rows)) // BLOCK), max(1, len(vocab)), BLOCK), np.float32)
-        for place, i in enumerate(order):
-            at, x = made[i]
-            self.blocks[place // BLOCK, at, place % BLOCK] = x
-        self.top = np.ascontiguousarray(self.blocks.max(axis=2).T)
+        order = sorted(range(len(made)), key=lambda i: (weightiest[i], -int(labels[i]), i))
+        self.labels, self.names, self.count = labels[order] if made else labels, [names[i] for i in order], len(made)
+        self.size = -(-max(1, len(made)) // BLOCK)
+        none = [np.zeros(0, np.int64)]
+        term = np.concatenate([made[i][0] for i in order] or none)
+        who = np.repeat(np.arange(len(order)), [made[i][0].size for i in order])
+        much = np.concatenate([made[i][1] for i in order] or none).astype(np.float32)
+        held = np.bincount(term, minlength=len(vocab))
+        often = np.flatnonzero(held * OFTEN > max(OFTEN, len(made)))
+        self.row = np.full(max(1, len(vocab)), -1, np.int32)
+        self.row[often] = np.arange(often.size)
+        self.heavy = np.zeros((self.size, often.size, BLOCK), np.float32)
+        many = self.row[term] >= 0
+        self.heavy[who[many] // BLOCK, self.row[term[many]], who[many] % BLOCK] = much[many]
+        self.top = np.ascontiguousarray(self.heavy.max(axis=2).T)
+        term, who, much = term[~many], who[~many], much[~many]
+        by = np.argsort(term, kind="stable")
+        self.ptr = np.searchsorted(term[by], np.arange(len(vocab) + 1))
+        self.who, self.much = who[by].astype(np.int32), much[by]
+
+    @property
+    def blocks(self) -> list[np.ndarray]:
+        """All weights, a matrix of terms by examples for each block: for small indexes."""
+        out = np.zeros((self.size, self.row.size, BLOCK), np.float32)
+        out[:, self.row >= 0] = self.heavy[:, self.row[self.row >= 0]]
+        out[self.who // BLOCK, np.repeat(np.arange(self.ptr.size - 1), np.diff(self.ptr)), self.who % BLOCK] = self.much
+        return list(out)
 
     def vector(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """TF-IDF of length one over the known terms."""
@@ -113,26 +127,32 @@ class Index:
         at, x = self.vector(found)
         if not at.size or not self.count:
             return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        bound = x @ self.top[at]
+        row = self.row[at]
+        start, size = self.ptr[at], self.ptr[at + 1] - self.ptr[at]
+        place = spans(start, size)
+        light = np.bincount(self.who[place], self.much[place] * np.repeat(x, size), self.size * BLOCK).astype(np.float32).reshape(-1, BLOCK)
+        often = np.zeros(self.top.shape[0], np.float32)
+        often[row[row >= 0]] = x[row >= 0]
+        bound = light.max(axis=1) + often @ self.top
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         done = min(FIRST, order.size)
-        ids, cos = self._score(order[:done], at, x)
+        ids, cos = self._score(order[:done], often, light)
         while done < order.size:
             floor = float(np.partition(cos, -k)[-k]) if cos.size >= k else 0.0
             left = order[done : 2 * done]  # as many again: the threshold rises between
             left = left[bound[left] >= floor - 1e-6]
             if not left.size:
                 break
-            more, c = self._score(left, at, x)
+            more, c = self._score(left, often, light)
             ids, cos, done = np.append(ids, more), np.append(cos, c), 2 * done
         keep = cos > 0
         ids, cos = ids[keep], cos[keep]
         best = np.lexsort((ids, -cos))[:k]
         return ids[best], cos[best]
 
-    def _score(self, blocks: np.ndarray, at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cos = np.concatenate([x @ self.blocks[b][at] for b in blocks.tolist()]) if blocks.size else np.zeros(0, np.float32)
+    def _score(self, blocks: np.ndarray, often: np.ndarray, light: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cos = np.concatenate([light[b] + often @ self.heavy[b] for b in blocks.tolist()]) if blocks.size else np.zeros(0, np.float32)
         return (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel(), cos
 
 
@@ -208,13 +228,11 @@ def frequencies(docs: DataFrame, text_col: str, vocab: dict[bytes, int]) -> tupl
         at = np.flatnonzero(df[:size])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(df[at], n), pa.int64())], names=["t", "n"])
 
-    df, n = np.zeros(size, np.int64), 0
-    for t, count in docs.select(text_col).mapInArrow(run, "t long, n long").groupBy("t").sum("n").collect():
-        if t < 0:
-            n = count
-        else:
-            df[t] = count
-    return df, n
+    found = docs.select(text_col).mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    at, count = found["t"].to_numpy(), found["n"].to_numpy()
+    df = np.zeros(size, np.int64)
+    df[at[at >= 0]] = count[at >= 0]
+    return df, int(count[at < 0].sum())
 
 
 def train(docs: DataFrame, learn: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_each: int = EXAMPLES, n_fit: int = FITTED) -> dict | None:
@@ -222,8 +240,12 @@ def train(docs: DataFrame, learn: DataFrame, labels: DataFrame, id_col: str = "d
     examples, fitted = labelled(learn, labels, id_col, text_col, n_each, n_fit)
     if not examples or not any(y for *_, y in examples):
         return None
-    rows = [terms(t) for _, t, _ in examples]
-    vocab = {t: i for i, t in enumerate(telling(rows, [y for *_, y in examples]))}
+    known: set[bytes] = set()
+    for _, t, _ in examples:
+        known.update(terms(t))
+    vocab = {t: i for i, t in enumerate(sorted(known))}
+    del known
+    rows = (terms(t) for _, t, _ in examples)  # one text's at a time: the driver is small
     df, n = frequencies(docs, text_col, vocab)
     idf = np.log((1 + n) / (1 + df))
     index = Index(vocab, idf, rows, np.array([y for *_, y in examples]), [str(i) for i, *_ in examples])

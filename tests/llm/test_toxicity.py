@@ -40,3 +40,16 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert len(out) == 11 and all(0 <= r["score"] <= 1 for r in out)
     assert {r["score"] for r in X.score(odd_docs, X.model_of(odd_docs, labels.limit(0))).collect()} == {0.0}
     assert X.score(no_docs, X.model_of(no_docs, labels)).count() == 0
+
+
+def test_every_term_of_the_examples_counts(spark):
+    """Clean examples' words are in the space: a clean text with one toxic word is nearer to clean ones."""
+    toxic = [(i, f"awful nasty {w}", 1) for i, w in enumerate(["alpha", "beta", "gamma"] * 20)]
+    clean = [(100 + i, f"river {w} bridge garden {w}ly", 0) for i, w in enumerate(["stone", "water", "apple"] * 20)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in toxic + clean], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in toxic + clean], "doc_id long, toxic int")
+    index = X.train(docs, docs, labels)["index"]
+    assert set(index.vocab) == {t for _, text, _ in toxic + clean for t in X.terms(text.encode())}
+    ids, cos = index.nearest(X.terms(b"river stone bridge garden stonely awful"))
+    assert cos[0] < 0.999 and not index.labels[ids[0]]
+    assert index.nearest(X.terms(b"garden"))[0].size
