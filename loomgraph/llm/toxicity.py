@@ -1,35 +1,44 @@
 """Toxicity from the nearest labelled examples under exact TF-IDF cosine.
 
-Examples: a bounded sample of labelled rows, at most EXAMPLES of each label, by the
-least hashes of their ids. Terms are whole words, and word beginnings where a
-language builds words from stems; all terms of the examples span the space. Their
-document frequencies are counted over all documents.
-
-Index: for each term, the examples' weights, in blocks of BLOCK examples that have
-their weightiest term in common where they can. Rare terms have short posting lists,
-which are summed for every example; frequent ones have the block's greatest weight. A
-query sums its frequent terms' block maxima first: with the greatest of the block's
-sums over rare terms, an upper bound of the cosine in each block. The blocks of the greatest bounds are scored, which gives a threshold at the
-k-th best; every other block whose bound is not below the threshold is scored
-too. So the k nearest are exact, and most blocks are not read.
+Examples: a bounded sample of labelled rows, at most EXAMPLES of each label and at most
+EXAMPLE_BYTES of their texts, by the least hashes of their ids. Terms are whole words, and
+word beginnings where a language builds words from stems; all terms of the examples span
+the space. Their document frequencies are counted over all documents.
+
+Index: the examples' weights by term, in blocks of BLOCK examples that have their
+weightiest term in common where they can. Rare terms have posting lists, which are summed
+for every example; frequent ones have the block's greatest weight. A query's frequent
+terms times the blocks' maxima, and the greatest of a block's sums over rare terms, make an
+upper bound of the cosine in each block. The blocks of the greatest bounds are scored,
+which gives a threshold at the k-th best; every other block whose bound is not below it
+is scored too. So the k nearest are exact, and most blocks are not read. Queries
+are taken GROUP at a time, so that a block is read once for all of them that need it.
 
 Score: the neighbours' votes, weighted by a power of the cosine, then a logistic
-curve fitted to further labelled rows outside the examples. The evidence column
-names the nearest examples with their label and cosine.
+curve fitted to further labelled rows outside the examples, each label weighted as it
+occurs among all labelled rows. The evidence column names the nearest examples with their
+label and cosine.
+
+Terms are known by 64-bit hashes: of two terms with the same hash, each would count for both.
+
+Memory: the driver holds the examples' distinct terms, with counts, and the index, which is
+broadcast: at most about 100 bytes for each distinct term of each example, so the bound
+on the examples' bytes bounds it. Texts stay at the executors.
 
 Edge cases: null and empty texts, and those without a known term, have the score of
 no neighbours, the fitted share of toxic rows; rows with a null label or text are not
-learned from; of conflicting labels of an id the greatest counts; ties of the cosine go to
-the lower example; with no labels at all every score is 0; columns named like an
+learned from; of conflicting labels of an id the greatest counts; of an id's several texts
+the least by order is learned from; ties of the cosine go to the lower example; with no labels at all every score is 0; columns named like an
 output are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,15 +47,18 @@ from loomgraph.llm.common import append, by_value, table, utf8
 from loomgraph.llm.langid import below, remainder
 from loomgraph.runtime import bound_batches, cut
 
-#: Labelled rows of each label that serve as examples, and as many again, of both
-#: labels as they come, that the curve is fitted to.
+#: Labelled rows of each label that serve as examples, and rows of each label that the curve is fitted to.
 EXAMPLES, FITTED = 2048, 4000
+#: Bytes of the examples' texts of each label: rows beyond are not taken.
+EXAMPLE_BYTES = 32_000_000
 NEIGHBOURS = 24
 BLOCK = 32
-#: Block counts scored before the threshold is known.
+#: Blocks scored before the threshold is known.
 FIRST = 4
 #: Terms of more than this part of the examples are held as a matrix.
-OFTEN = 8
+OFTEN = 16
+#: Queries scored together, and bytes of text taken apart at once.
+GROUP, GROUP_BYTES = 64, 4_000_000
 #: Bytes of a word's beginnings.
 STEMS = (4, 6)
 CUT = 0.3
@@ -54,20 +66,108 @@ CUT = 0.3
 _FOLD = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
 
-def terms(text: bytes | None) -> list[bytes]:
-    """Lower-cased words of a whole text, and the beginnings of the longer ones."""
-    words = text.translate(_FOLD).split() if text else []
-    return words + [w[:n] + b"*" for n in STEMS for w in words if len(w) > n]
-
-
-def counted(found: list[bytes], vocab: dict[bytes, int], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Known terms by number, with how often each occurs."""
-    get = vocab.get
-    ids = [i for i in map(get, found) if i is not None]
-    if not ids:
-        return np.zeros(0, np.int64), np.zeros(0)
-    at, n = np.unique(np.array(ids, np.int64), return_counts=True)
-    return at, n
+#: FNV-1a of 64 bits. Longer words than WIDE bytes are hashed by XXH64 instead.
+OFFSET, PRIME, WIDE = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3), 64
+_STAR = np.uint64(ord("*"))
+
+
+def term_hashes(folded: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of all terms of folded text: of each word its own hash, and those of
+    its beginnings with a star behind them. All words go forward a byte at a time, longest first."""
+    letters = np.frombuffer(folded, np.uint8)
+    gap = np.ones(letters.size + 2, bool)
+    np.equal(letters, 0x20, out=gap[1:-1])
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    if not start.size:
+        return start, start.astype(np.uint64)
+    by = np.argsort(-np.minimum(size, WIDE + 1).astype(np.int16), kind="stable")
+    start, size = start[by], size[by]
+    longer = np.cumsum(np.bincount(np.minimum(size, WIDE + 1), minlength=WIDE + 2)[::-1])[::-1]  # words of at least so many bytes
+    h, letters = np.full(start.size, OFFSET), letters.astype(np.uint64)
+    places, out = [start], [h]
+    for j in range(int(min(size.max(), WIDE))):
+        n = int(longer[j + 1])
+        h[:n] = (h[:n] ^ letters[start[:n] + j]) * PRIME
+        if j + 1 in STEMS:
+            m = int(longer[j + 2])
+            places.append(start[:m])
+            out.append((h[:m] ^ _STAR) * PRIME)
+    for k in range(int(longer[WIDE + 1])):
+        h[k] = xxhash.xxh64_intdigest(folded[start[k] : start[k] + size[k]])
+    return np.concatenate(places), np.concatenate(out)
+
+
+def _sections(texts: list[bytes | None]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """The folded texts, longer ones cut between words, GROUP_BYTES or little more at a time."""
+    which, parts, held = [], [], 0
+    for i, t in enumerate(texts):
+        folded, at = (t or b"").translate(_FOLD), 0
+        while at < len(folded):
+            cut_ = folded.find(b" ", at + GROUP_BYTES)
+            end = len(folded) if cut_ < 0 else cut_
+            which.append(i)
+            parts.append(folded[at:end])
+            held, at = held + end - at, end
+            if held >= GROUP_BYTES:
+                yield which, parts
+                which, parts, held = [], [], 0
+    if parts:
+        yield which, parts
+
+
+def _runs(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and how many (or the sum of n) of each."""
+    if n is None:
+        key = np.sort(key)
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if key.size else np.zeros(0, np.int64)
+        return key[head], np.diff(np.append(head, key.size))
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if key.size else np.zeros(0, np.int64)
+    return key[head], np.add.reduceat(n, head) if head.size else n
+
+
+class Vocabulary:
+    """Known terms by their hashes, ascending; the first bits of a hash give the place to look at."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.count = hashes.size
+        bits = max(1, int(self.count).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(hashes >> self.shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+        self.hashes = np.append(hashes, np.uint64(0xFFFFFFFFFFFFFFFF))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each term, -1 for an unknown one."""
+        at = self.first[h >> self.shift].astype(np.int64)
+        left = np.flatnonzero(self.hashes[at] < h)
+        while left.size:
+            at[left] += 1
+            left = left[self.hashes[at[left]] < h[left]]
+        return np.where((self.hashes[at] == h) & (at < self.count), at, -1)
+
+    def counted(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text its known terms: (text, term, how often), by text, then term."""
+        many, made = max(1, self.count), []
+        for which, parts in _sections(texts):
+            place, h = term_hashes(b" ".join(parts))
+            term = self.find(h)
+            place, term = place[term >= 0], term[term >= 0]
+            begin = np.cumsum([0] + [len(p) + 1 for p in parts])
+            made.append(_runs(np.array(which)[np.searchsorted(begin, place, "right") - 1] * many + term))
+        if not made:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        key, often = made[0] if len(made) == 1 else _runs(np.concatenate([k for k, _ in made]), np.concatenate([n for _, n in made]))
+        return key // many, key % many, often
+
+
+def distinct(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """A text's terms by hash, ascending, and how often each occurs."""
+    made = [_runs(term_hashes(b" ".join(parts))[1]) for _, parts in _sections([text])]
+    if not made:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return made[0] if len(made) == 1 else _runs(np.concatenate([k for k, _ in made]), np.concatenate([n for _, n in made]))
 
 
 def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -83,20 +183,21 @@ class Index:
     frequent terms by BLOCK examples for each block, and `top` has their block maxima.
     """
 
-    def __init__(self, vocab: dict[bytes, int], idf: np.ndarray, rows: Iterable[list[bytes]], labels: np.ndarray, names: list[str]):
-        self.vocab, self.idf = vocab, idf.astype(np.float32)
-        made = [self.vector(found) for found in rows]
-        weightiest = [int(at[x.argmax()]) if at.size else len(vocab) for at, x in made]
-        order = sorted(range(len(made)), key=lambda i: (weightiest[i], -int(labels[i]), i))
-        self.labels, self.names, self.count = labels[order] if made else labels, [names[i] for i in order], len(made)
-        self.size = -(-max(1, len(made)) // BLOCK)
-        none = [np.zeros(0, np.int64)]
-        term = np.concatenate([made[i][0] for i in order] or none)
-        who = np.repeat(np.arange(len(order)), [made[i][0].size for i in order])
-        much = np.concatenate([made[i][1] for i in order] or none).astype(np.float32)
-        held = np.bincount(term, minlength=len(vocab))
-        often = np.flatnonzero(held * OFTEN > max(OFTEN, len(made)))
-        self.row = np.full(max(1, len(vocab)), -1, np.int32)
+    def __init__(self, known: Vocabulary, idf: np.ndarray, counted: tuple[np.ndarray, np.ndarray, np.ndarray], labels: np.ndarray, names: list[str]):
+        self.known, self.idf, self.count, vocab, n = known, idf.astype(np.float32), len(labels), known.count, len(labels)
+        self.size = -(-max(1, n) // BLOCK)
+        who, term, much = self.vectors(counted, n)
+        # the weightiest term of each example, the lowest of equal ones
+        weightiest = np.full(n, vocab)
+        by = np.lexsort((-term, much, who))
+        weightiest[who[by]] = term[by]
+        order = np.lexsort((np.arange(n), -labels, weightiest))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.labels, self.names, who = labels[order], [names[i] for i in order.tolist()], place[who]
+        held = np.bincount(term, minlength=vocab)
+        often = np.flatnonzero(held * OFTEN > max(OFTEN, n))
+        self.row = np.full(max(1, vocab), -1, np.int32)
         self.row[often] = np.arange(often.size)
         self.heavy = np.zeros((self.size, often.size, BLOCK), np.float32)
         many = self.row[term] >= 0
@@ -104,56 +205,64 @@ class Index:
         self.top = np.ascontiguousarray(self.heavy.max(axis=2).T)
         term, who, much = term[~many], who[~many], much[~many]
         by = np.argsort(term, kind="stable")
-        self.ptr = np.searchsorted(term[by], np.arange(len(vocab) + 1))
-        self.who, self.much = who[by].astype(np.int32), much[by]
-
-    @property
-    def blocks(self) -> list[np.ndarray]:
-        """All weights, a matrix of terms by examples for each block: for small indexes."""
-        out = np.zeros((self.size, self.row.size, BLOCK), np.float32)
-        out[:, self.row >= 0] = self.heavy[:, self.row[self.row >= 0]]
-        out[self.who // BLOCK, np.repeat(np.arange(self.ptr.size - 1), np.diff(self.ptr)), self.who % BLOCK] = self.much
-        return list(out)
-
-    def vector(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """TF-IDF of length one over the known terms."""
-        at, n = counted(found, self.vocab, self.idf.size)
-        x = ((1 + np.log(n)) * self.idf[at]).astype(np.float32) if at.size else np.zeros(0, np.float32)
-        norm = float(np.sqrt(x @ x))
-        return at, x / norm if norm > 0 else x
-
-    def nearest(self, found: list[bytes], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the greatest positive cosine, and the cosines."""
-        at, x = self.vector(found)
-        if not at.size or not self.count:
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        row = self.row[at]
-        start, size = self.ptr[at], self.ptr[at + 1] - self.ptr[at]
-        place = spans(start, size)
-        light = np.bincount(self.who[place], self.much[place] * np.repeat(x, size), self.size * BLOCK).astype(np.float32).reshape(-1, BLOCK)
-        often = np.zeros(self.top.shape[0], np.float32)
-        often[row[row >= 0]] = x[row >= 0]
-        bound = light.max(axis=1) + often @ self.top
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        done = min(FIRST, order.size)
-        ids, cos = self._score(order[:done], often, light)
-        while done < order.size:
-            floor = float(np.partition(cos, -k)[-k]) if cos.size >= k else 0.0
-            left = order[done : 2 * done]  # as many again: the threshold rises between
-            left = left[bound[left] >= floor - 1e-6]
-            if not left.size:
-                break
-            more, c = self._score(left, often, light)
-            ids, cos, done = np.append(ids, more), np.append(cos, c), 2 * done
-        keep = cos > 0
-        ids, cos = ids[keep], cos[keep]
-        best = np.lexsort((ids, -cos))[:k]
-        return ids[best], cos[best]
-
-    def _score(self, blocks: np.ndarray, often: np.ndarray, light: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cos = np.concatenate([light[b] + often @ self.heavy[b] for b in blocks.tolist()]) if blocks.size else np.zeros(0, np.float32)
-        return (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel(), cos
+        self.ptr = np.searchsorted(term[by], np.arange(vocab + 1))
+        self.who, self.much = who[by], much[by].astype(np.float64)
+
+    def vectors(self, counted: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, weight) of n texts: TF-IDF of length one over the known terms."""
+        text, term, often = counted
+        x = (1 + np.log(often)) * self.idf[term] if term.size else np.zeros(0)
+        norm = np.sqrt(np.bincount(text, x * x, n))
+        return text, term, (x / np.where(norm > 0, norm, 1)[text]).astype(np.float32)
+
+    def nearest(self, counted: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each of n texts the k examples of the greatest positive cosine, and the cosines."""
+        text, term, x = self.vectors(counted, n)
+        if not term.size or not self.count:
+            return [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * n
+        row, wide = self.row[term], self.size * BLOCK
+        often = np.zeros((n, self.top.shape[0]), np.float32)
+        often[text[row >= 0], row[row >= 0]] = x[row >= 0]
+        start, size = self.ptr[term], self.ptr[term + 1] - self.ptr[term]
+        light = np.empty((n, wide), np.float32)
+        ends = np.searchsorted(text, np.arange(n + 1)).tolist()
+        held = np.concatenate([[0], np.cumsum(size)])[ends]
+        most = int(np.diff(held).max())
+        who, much = np.empty(most, np.int64), np.empty(most)  # large arrays are made once, not for each text
+        for i, (a, b) in enumerate(zip(ends, ends[1:])):
+            place = spans(start[a:b], size[a:b])
+            whom = np.take(self.who, place, out=who[: place.size], mode="clip")
+            sums = np.take(self.much, place, out=much[: place.size], mode="clip")
+            sums *= np.repeat(x[a:b], size[a:b])
+            light[i] = np.bincount(whom, sums, wide)
+        light = light.reshape(n, self.size, BLOCK)
+        bound = light.max(axis=2) + often @ self.top
+        cos = np.zeros(light.shape, np.float32)
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argpartition(-bound, min(FIRST, self.size) - 1, axis=1)[:, :FIRST], True, axis=1)
+        self._score(first, often, light, cos)
+        floor = self._kth(cos[first].reshape(n, 1, -1), k)
+        self._score((bound >= floor[:, None] - 1e-6) & (bound > 0) & ~first, often, light, cos)
+        flat, floor, out = cos.reshape(n, wide), self._kth(cos, k), []
+        for c, least in zip(flat, floor.tolist()):
+            ids = np.flatnonzero((c >= least) & (c > 0))
+            ids = ids[np.lexsort((ids, -c[ids]))][:k]
+            out.append((ids, c[ids]))
+        return out
+
+    @staticmethod
+    def _kth(cos: np.ndarray, k: int) -> np.ndarray:
+        flat = cos.reshape(len(cos), -1)
+        return np.partition(flat, -k, axis=1)[:, -k] if flat.shape[1] >= k else np.zeros(len(flat), np.float32)
+
+    def _score(self, wanted: np.ndarray, often: np.ndarray, light: np.ndarray, cos: np.ndarray) -> None:
+        """The cosines of the wanted (text, block) pairs, a block at a time."""
+        for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+            some = np.flatnonzero(wanted[:, b])
+            if 2 * some.size < len(often):
+                cos[some, b] = light[some, b] + often[some] @ self.heavy[b]
+            else:  # cheaper than taking the wanted rows out; the others stay exact too
+                cos[:, b] = light[:, b] + often @ self.heavy[b]
 
 
 def vote(cos: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -165,24 +274,24 @@ def vote(cos: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return np.array([share, share * share, float(cos[0])])
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weights (the constant first) of a logistic curve with a small ridge, by Newton's method."""
     a = np.column_stack([np.ones(len(x)), x])
     w, ridge = np.zeros(a.shape[1]), np.full(a.shape[1], 1e-2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + np.diag(ridge), a.T @ (p - y) + ridge * w)
+        step = np.linalg.solve(a.T @ (a * (weight * p * (1 - p))[:, None]) + np.diag(ridge), a.T @ (weight * (p - y)) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, n_each: int, n_fit: int) -> tuple[list, list]:
-    """The sampled rows (id, text, label): examples, and those for the curve. Ids are chosen
-    from the labels alone; texts are read for the chosen ids only."""
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, n_each: int, n_fit: int, n_bytes: int) -> tuple[list[tuple], list[tuple], dict[int, int]]:
+    """(id, label) of the examples and of the rows for the curve, and how many rows each label
+    has. Ids are chosen from the labels alone, then examples by their texts' bytes."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
-    known = known.join(docs.select(id_col).distinct(), id_col, "left_semi").withColumn("toxic", (F.col("toxic") > 0).cast("int"))
+    known = known.join(docs.select(id_col), id_col, "left_semi").withColumn("toxic", (F.col("toxic") > 0).cast("int"))
     known = cut(known.withColumn("k", F.xxhash64(id_col)).withColumn("h", F.pmod("k", F.lit(1 << 40))))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
 
@@ -192,88 +301,123 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, n_e
         few = known.where((F.col("toxic") == label) & below(F.col("k"), min(1.0, (2 * n + 64) / max(1, have))))
         return [(r[id_col], r["toxic"]) for r in few.orderBy("h", id_col).limit(n).collect()]
 
-    toxic, clean = take(1, n_each + n_each // 2), take(0, n_each)
+    toxic, clean = take(1, n_each + n_each // 2), take(0, n_each + n_fit)
     # a third of the sampled toxic rows are kept back for the curve
-    back = toxic[: len(toxic) // 3]
-    toxic = toxic[len(toxic) // 3 :]
-    fitted = take(0, n_each + n_fit)[len(clean) :]
+    back, toxic = toxic[: len(toxic) // 3], toxic[len(toxic) // 3 :]
+    fitted, clean = clean[n_each:], clean[:n_each]
     if not fitted and clean:
         fitted, clean = clean[: len(clean) // 3 + 1], clean[len(clean) // 3 + 1 :]
-    label = dict(toxic) | dict(clean) | dict(back) | dict(fitted)
-    if not label:
-        return [], []
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(i,) for i in label], docs.select(F.col(id_col).alias("__i")).schema)
-    rows = docs.join(F.broadcast(ids), docs[id_col] == ids["__i"], "left_semi").where(F.col(text_col).isNotNull())
-    least = rows.groupBy(id_col).agg(F.min(F.col(text_col).cast("binary")).alias("t"))  # an id may repeat, and often
-    texts = {r[0]: bytes(r["t"]) for r in least.collect()}
-    pick = lambda some: [(i, texts[i], int(y > 0)) for i, y in some if i in texts]
-    return pick(toxic + clean), pick(back + fitted)
-
-
-def frequencies(docs: DataFrame, text_col: str, vocab: dict[bytes, int]) -> tuple[np.ndarray, int]:
+    wanted = _only(docs, id_col, [i for i, _ in toxic + clean]).where(F.col(text_col).isNotNull())
+    sizes = {r[0]: r[1] for r in wanted.groupBy(id_col).agg(F.max(F.octet_length(text_col))).collect()}
+    examples = []
+    for some in (toxic, clean):
+        held = 0
+        for i, y in some:
+            if i in sizes and held + sizes[i] <= n_bytes:
+                held += sizes[i]
+                examples.append((i, y))
+    return examples, back + fitted, counts
+
+
+def _only(docs: DataFrame, id_col: str, ids: list) -> DataFrame:
+    """The documents of some ids: a bounded list."""
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], docs.select(F.col(id_col).alias("__i")).schema)
+    return docs.join(F.broadcast(wanted), docs[id_col] == wanted["__i"], "left_semi")
+
+
+def example_terms(docs: DataFrame, id_col: str, text_col: str, ids: list) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """The ids whose texts are there, and of each of their terms (number of the id, hash, how often)."""
+    rows = _only(docs, id_col, ids).where(F.col(text_col).isNotNull())
+    least = rows.groupBy(id_col).agg(F.min(F.col(text_col).cast("binary")).alias("__t"))  # an id may repeat, and often
+    made = ("__terms", "__often")
+
+    def compute(batch: pa.RecordBatch) -> list:
+        found = [distinct(t) for t in utf8(batch, "__t")]
+        return [pa.array([h.view(np.int64) for h, _ in found], pa.list_(pa.int64())), pa.array([n for _, n in found], pa.list_(pa.int64()))]
+
+    got = append(least, compute, [T.StructField(c, T.ArrayType(T.LongType())) for c in made], ("__t",)).toArrow().combine_chunks()
+    place = {i: k for k, i in enumerate(got[id_col].to_pylist())}
+    kept = [i for i in ids if i in place]
+    lists = got.take(pa.array([place[i] for i in kept], pa.int64())).combine_chunks()
+    size = lists[made[0]].combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if kept else np.zeros(0, np.int64)
+    flat = [lists[c].combine_chunks().flatten().to_numpy() for c in made] if kept else [np.zeros(0, np.int64)] * 2
+    return kept, np.repeat(np.arange(len(kept)), size), flat[0].view(np.uint64), flat[1]
+
+
+def frequencies(docs: DataFrame, text_col: str, known: Vocabulary) -> tuple[np.ndarray, int]:
     """In how many of all documents each of the vocabulary's terms occurs."""
-    held = docs.sparkSession.sparkContext.broadcast(vocab)
+    held = docs.sparkSession.sparkContext.broadcast(known)
     bound_batches(docs.sparkSession)
-    size = len(vocab)
 
     def run(batches):
-        get, df, n = held.value.get, np.zeros(size + 1, np.int64), 0
+        df, n = np.zeros(held.value.count, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                n += 1
-                if text:
-                    found = {get(t, size) for t in set(terms(text))}
-                    df[list(found)] += 1
-        at = np.flatnonzero(df[:size])
+            n += batch.num_rows
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            for i in range(0, len(texts), GROUP):
+                df += np.bincount(held.value.counted(texts[i : i + GROUP])[1], minlength=df.size)
+        at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(df[at], n), pa.int64())], names=["t", "n"])
 
     found = docs.select(text_col).mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     at, count = found["t"].to_numpy(), found["n"].to_numpy()
-    df = np.zeros(size, np.int64)
+    df = np.zeros(known.count, np.int64)
     df[at[at >= 0]] = count[at >= 0]
     return df, int(count[at < 0].sum())
 
 
-def train(docs: DataFrame, learn: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_each: int = EXAMPLES, n_fit: int = FITTED) -> dict | None:
-    """The index and the curve. docs: all rows, for the frequencies; learn: those whose labels may be used."""
-    examples, fitted = labelled(learn, labels, id_col, text_col, n_each, n_fit)
-    if not examples or not any(y for *_, y in examples):
+def train(
+    docs: DataFrame, learn: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_each: int = EXAMPLES, n_fit: int = FITTED, n_bytes: int = EXAMPLE_BYTES
+) -> dict | None:
+    """The index (broadcast) and the curve. docs: all rows, for the frequencies; learn: those whose labels may be used."""
+    examples, fitted, counts = labelled(learn, labels, id_col, text_col, n_each, n_fit, n_bytes)
+    if not any(y for _, y in examples):
         return None
-    known: set[bytes] = set()
-    for _, t, _ in examples:
-        known.update(terms(t))
-    vocab = {t: i for i, t in enumerate(sorted(known))}
-    del known
-    rows = (terms(t) for _, t, _ in examples)  # one text's at a time: the driver is small
-    df, n = frequencies(docs, text_col, vocab)
+    kept, who, term, often = example_terms(learn, id_col, text_col, [i for i, _ in examples])
+    label = dict(examples)
+    hashes = np.unique(term)
+    known = Vocabulary(hashes)
+    df, n = frequencies(docs, text_col, known)
     idf = np.log((1 + n) / (1 + df))
-    index = Index(vocab, idf, rows, np.array([y for *_, y in examples]), [str(i) for i, *_ in examples])
-    x, y = [], []
-    for _, text, label in fitted:
-        ids, cos = index.nearest(terms(text))
-        x.append(vote(cos, index.labels[ids]))
-        y.append(label)
-    w = logistic(np.array(x), np.array(y, float)) if any(y) else np.array([-4.0, 8.0, 0.0, 0.0])
-    return {"index": index, "w": w}
+    index = Index(known, idf, (who, np.searchsorted(hashes, term), often), np.array([label[i] for i in kept], np.int64), [str(i) for i in kept])
+    del who, term, often, hashes
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+    label = dict(fitted)
+    rows = _only(learn, id_col, [*label]).where(F.col(text_col).isNotNull()).select(id_col, text_col)
+    names = ("__share", "__square", "__nearest")
+
+    def compute(batch: pa.RecordBatch) -> list:
+        votes = np.array([vote(cos, sent.value.labels[ids]) for ids, cos in found(sent.value, utf8(batch, text_col))]).reshape(-1, 3)
+        return [pa.array(v, pa.float64()) for v in votes.T]
+
+    got = append(rows, compute, [T.StructField(c, T.DoubleType()) for c in names], (text_col,)).groupBy(id_col).agg(*(F.min(c).alias(c) for c in names)).orderBy(id_col).collect()
+    x, y = np.array([[r[c] for c in names] for r in got]).reshape(-1, 3), np.array([label[r[id_col]] for r in got], float)
+    # each label as often as it is among all labelled rows
+    each = np.where(y > 0, counts.get(1, 0) / max(1.0, y.sum()), counts.get(0, 0) / max(1.0, (1 - y).sum()))
+    w = logistic(x, y, each / each.mean()) if y.any() else np.array([-4.0, 8.0, 0.0, 0.0])
+    return {"index": sent, "w": w}
+
+
+def found(index: Index, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The nearest examples of each text."""
+    for i in range(0, len(texts), GROUP):
+        group = texts[i : i + GROUP]
+        yield from index.nearest(index.known.counted(group), len(group))
 
 
 def score(docs: DataFrame, model: dict | None, text_col: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with score, predicted and evidence. One pass, no shuffle."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute(batch: pa.RecordBatch) -> list:
-        m, scores, evidence = held.value, [], []
-        for text in utf8(batch, text_col):
-            if m is None:
-                scores.append(0.0)
-                evidence.append([])
-                continue
-            index = m["index"]
-            ids, cos = index.nearest(terms(text))
-            z = float(m["w"][0] + m["w"][1:] @ vote(cos, index.labels[ids]))
-            scores.append(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
-            evidence.append([{"example": index.names[i], "toxic": int(index.labels[i]), "cosine": float(c)} for i, c in zip(ids[:3].tolist(), cos[:3].tolist())])
+        texts, scores, evidence = utf8(batch, text_col), [], []
+        if model is None:
+            scores, evidence = [0.0] * len(texts), [[]] * len(texts)
+        else:
+            index, w = model["index"].value, model["w"]
+            for ids, cos in found(index, texts):
+                z = float(w[0] + w[1:] @ vote(cos, index.labels[ids]))
+                scores.append(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
+                evidence.append([{"example": index.names[i], "toxic": int(index.labels[i]), "cosine": c} for i, c in zip(ids[:3].tolist(), cos[:3].tolist())])
         kind = pa.list_(pa.struct([("example", pa.string()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
         return [pa.array(scores, pa.float64()), pa.array([int(s >= CUT) for s in scores], pa.int32()), pa.array(evidence, kind)]
 
