@@ -1,6 +1,10 @@
 """Near copies by an exact set-similarity join: texts whose sets of SHINGLE-word shingles
 have a Jaccard similarity of at least 4/5 are linked, and no such link is lost.
 
+First, the covering tables of `simhash` over the sets' fingerprints give candidates within its radius:
+most copies, at little cost. No fixed radius reaches every pair of that similarity (64 bits differ in
+10 on average, and in more than any radius now and then), so the exact join completes the links.
+
 Prefixes: under any one global order of the shingles, two sets of that similarity share
 one of the first n - ceil(0.8 n) + 1 shingles of both. The order puts shingles that are
 common in a sample of the texts last; it decides the work only, never the result.
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm.common import append, by_value, utf8
-from loomgraph.llm.simhash import OUT, SEED, shingles
+from loomgraph.llm.simhash import OUT, SEED, link, majority, shingles
 from loomgraph.operators.components import connected_components
 from loomgraph.runtime import cut, cut_flat
 
@@ -96,32 +100,50 @@ def _similar(pairs: DataFrame, docs: DataFrame, marked: DataFrame, text_col: str
     return cut_flat(both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("src", "dst"))
 
 
+def _candidates(uniq: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of sets whose fingerprints are equal or linked by the covering tables."""
+    one = cut(uniq.groupBy("fp").agg(F.min("sid").alias("first")))
+    equal = uniq.join(one, "fp").where("sid <> first").select(F.col("first").alias("src"), F.col("sid").alias("dst"))
+    left, right = one.select(F.col("fp").alias("src"), F.col("first").alias("a")), one.select(F.col("fp").alias("dst"), F.col("first").alias("b"))
+    near = link(one.select("fp")).join(left, "src").join(right, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return equal.unionByName(near)
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    return cut_flat(connected_components(edges).select(F.col("id").alias("sid"), F.col("component").alias("root")))
+
+
 def links(docs: DataFrame, marked: DataFrame, uniq: DataFrame, text_col: str, rounds: int = ROUNDS) -> DataFrame:
     """(sid, root) of the sets that are linked: the components at the threshold."""
+    edges = _similar(_candidates(uniq), docs, marked, text_col)
+    roots = _roots(edges)
     keyed = uniq.select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
     tokens = cut(keyed.groupBy("token").count().where("count > 1").select("token"))
-    rest = cut(keyed.join(_sent(tokens), "token"))
-    edges, turn = None, 0
+    rest, turn = _apart(keyed.join(_sent(tokens), "token"), roots), 0
     while not rest.isEmpty():
         size = rest.groupBy("token").count().agg(F.sum(F.expr("count * (count - 1) / 2")), F.sum("count")).first()
         last = turn >= rounds or size[0] <= 4 * size[1]
         if last:
             a, b = rest.alias("a"), rest.alias("b")
-            other = "a.sid < b.sid" + (" and a.root <> b.root" if turn else "")
+            other = "a.sid < b.sid and a.root <> b.root"
         else:
-            first = F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "n", "pos")).alias("p")
-            a, b = rest.groupBy("token").agg(first).select("token", "p.sid", "p.n", "p.pos").alias("a"), rest.alias("b")
-            other = "a.sid <> b.sid"
+            first = F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "n", "pos", "root")).alias("p")
+            a, b = rest.groupBy("token").agg(first).select("token", "p.sid", "p.n", "p.pos", "p.root").alias("a"), rest.alias("b")
+            other = "a.sid <> b.sid and a.root <> b.root"
         pairs = a.join(b, F.expr(f"a.token = b.token and {other} and {MAY}")).select(F.col("a.sid").alias("src"), F.col("b.sid").alias("dst"))
-        found = _similar(pairs, docs, marked, text_col)
-        edges = found if edges is None else cut_flat(edges.unionByName(found))
-        roots = cut_flat(connected_components(edges).select(F.col("id").alias("sid"), F.col("component").alias("root")))
+        edges = cut_flat(edges.unionByName(_similar(pairs, docs, marked, text_col)))
+        roots = _roots(edges)
         if last:
             return roots
-        rest = rest.drop("root").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        several = rest.groupBy("token").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u <> v").select("token")
-        rest, turn = cut_flat(rest.join(several, "token", "left_semi")), turn + 1
-    return roots if edges is not None else uniq.select("sid", F.col("sid").alias("root")).limit(0)
+        rest, turn = _apart(rest, roots), turn + 1
+    return roots
+
+
+def _apart(rest: DataFrame, roots: DataFrame) -> DataFrame:
+    """The entries of the buckets whose sets are of several components, with these."""
+    rest = rest.drop("root").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    several = rest.groupBy("token").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u <> v").select("token")
+    return cut_flat(rest.join(several, "token", "left_semi"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), rounds: int = ROUNDS) -> DataFrame:
@@ -131,17 +153,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, text_col))
 
     def compute(batch: pa.RecordBatch) -> list:
-        sid, n, prefix = [], [], []
+        sid, n, fp, prefix = [], [], [], []
         for text in utf8(batch, text_col):
             found = shingle_set(text)
             sid.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63) if found.size else 0)
             n.append(found.size)
+            fp.append(majority(found))
             prefix.append(prefix_of(found, *common.value).view("<i8"))
-        return [pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))]
+        return [pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
 
-    fields = [T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
     marked = cut(append(held.withColumn("__h", F.xxhash64(text_col)), compute, fields, () if text_col in keep else (text_col,)))
-    uniq = cut(marked.groupBy("sid").agg(F.min(id_col).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    uniq = cut(marked.groupBy("sid").agg(F.min(id_col).alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
     roots = links(docs, marked, uniq, text_col, rounds)
     grouped = uniq.select("sid", "rep").join(roots, "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     linked = grouped.join(roots.select("root").distinct(), "root", "left_semi")

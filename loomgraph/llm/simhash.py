@@ -9,10 +9,16 @@ differ, and the two collide in that table. So no pair is lost, whatever the data
 
 Work: equal fingerprints are merged first. A bucket of two is a pair. Larger
 buckets up to BUCKET give the edges of a spanning forest each, never all pairs.
-Fingerprints of still larger buckets are linked through midpoints instead: two
+A still larger bucket is divided by covering tables over the bits that its mask leaves
+out: there, too, two fingerprints within the radius collide in some table.
+What is larger even then is linked through midpoints: two
 fingerprints within the radius share a value at half the radius from both, so a
 row for each such value and fingerprint, grouped by value, finds the same links
-in work that grows with the number of fingerprints only.
+in work that grows with the number of fingerprints only (2081 rows each at radius 4).
+
+With a similarity to reach beyond the radius, keep_one() takes the groups of
+`nearcopies.near_copies`: the same tables over five-word shingles give the first links, each
+verified, and an exact join adds the links that the radius misses.
 
 Edge cases: null and empty texts, and texts without words, have fingerprint zero
 and link like any other; texts with fewer words than a shingle are one shingle;
@@ -31,7 +37,7 @@ from pyspark.sql import types as T
 
 from loomgraph.llm.common import append, by_value, table, utf8
 from loomgraph.operators.components import connected_components
-from loomgraph.runtime import cut
+from loomgraph.runtime import cut, partitions
 
 SHINGLE = 4
 RADIUS = 4
@@ -59,16 +65,19 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 def simhash(text: bytes | None, k: int = SHINGLE) -> int:
     """The fingerprint as a signed 64-bit number."""
     digest = xxhash.xxh64_intdigest
-    parts = shingles(text, k)
-    if not parts:
+    return majority(np.array([digest(x, SEED) for x in shingles(text, k)], "<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed number; 0 for none."""
+    if not h.size:
         return 0
-    h = np.array([digest(x, SEED) for x in parts], "<u8")
-    if len(parts) < 2048:
+    if h.size < 2048:
         ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     else:
         octets = h.view(np.uint8).reshape(-1, 8)
         ones = np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BITS for i in range(8)])
-    bits = np.packbits(2 * ones > len(parts), bitorder="little")
+    bits = np.packbits(2 * ones > h.size, bitorder="little")
     return int(bits.view("<i8")[0])
 
 
@@ -81,13 +90,14 @@ def fingerprints(docs: DataFrame, text_col: str = "text", k: int = SHINGLE, name
     return append(docs, compute, [T.StructField(name, T.LongType())], drop)
 
 
-def masks(radius: int, bits: int = 64) -> list[int]:
-    """The covering masks as signed longs: 2^(radius+1) - 1 of them."""
+def masks(radius: int, positions: list[int] | None = None) -> list[int]:
+    """The covering masks over some bit positions (default: all 64) as signed longs: 2^(radius+1) - 1 of them."""
     span = 1 << (radius + 1)
-    codes = [1 + i % (span - 1) for i in range(bits)]  # each non-zero code word about as often
+    # each non-zero code word about as often
+    codes = [(i, 1 + k % (span - 1)) for k, i in enumerate(range(64) if positions is None else positions)]
     out = []
     for v in range(1, span):
-        mask = sum(1 << i for i, c in enumerate(codes) if (c & v).bit_count() & 1)
+        mask = sum(1 << i for i, c in codes if (c & v).bit_count() & 1)
         out.append(mask - (1 << 64) if mask >> 63 else mask)
     return out
 
@@ -141,24 +151,36 @@ def _midpoint_edges(hot: DataFrame, radius: int) -> DataFrame:
     return pairs
 
 
-def link(uniq: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Edges (src, dst) between distinct fingerprints (fp) whose components are those of
-    the links at the radius; each edge stands for a path of such links."""
-    tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks(radius))))
-    keyed = uniq.select("fp", F.explode(tables).alias("k")).select("fp", "k.t", "k.key")
-    groups = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("src"), F.max("fp").alias("dst")).where("n > 1")
-    groups = cut(groups)
+def _bucketed(keyed: DataFrame, by: list[str], radius: int, bucket: int) -> tuple[DataFrame, DataFrame | None]:
+    """Edges of the buckets (`by`) of at most `bucket` fingerprints (fp), and the rows of larger ones, None if there are none."""
+    groups = cut(keyed.groupBy(*by).agg(F.count("*").alias("n"), F.min("fp").alias("src"), F.max("fp").alias("dst")).where("n > 1"))
     near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= radius
     pairs = groups.where("n = 2").where(near).select("src", "dst")
-    more = groups.where("n > 2").select("t", "key", "n")
-    members = keyed.join(more.where(F.col("n") <= bucket).select("t", "key"), ["t", "key"])
-    small = members.groupBy("t", "key").agg(F.collect_list("fp").alias("members"))
+    members = keyed.join(groups.where((F.col("n") > 2) & (F.col("n") <= bucket)).select(*by), by)
+    small = members.groupBy(*by).agg(F.collect_list("fp").alias("members"))
     edges = pairs.unionByName(_bucket_edges(small, radius))
-    big = more.where(F.col("n") > bucket).select("t", "key")
-    if big.isEmpty():
+    big = groups.where(F.col("n") > bucket).select(*by)
+    return edges, None if big.isEmpty() else keyed.join(big, by, "left_semi")
+
+
+def link(uniq: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Edges (src, dst) between distinct fingerprints (fp) whose components are those of
+    the links at the radius; each edge stands for a path of such links."""
+    first = masks(radius)
+    keys = lambda m: F.posexplode(F.transform(m, lambda x: F.col("fp").bitwiseAND(x)))
+    longs = lambda ms: F.array(*(F.lit(m).cast("long") for m in ms))
+    keyed = uniq.select("fp").repartition(partitions(uniq.sparkSession), "fp").select("fp", keys(longs(first)).alias("t", "key"))
+    edges, hot = _bucketed(keyed, ["t", "key"], radius, bucket)
+    if hot is None:
         return edges.distinct()
-    hot = keyed.join(big, ["t", "key"], "left_semi").select("fp").distinct()
-    return edges.unionByName(_midpoint_edges(hot, radius)).distinct()
+    # the members of a bucket differ in the bits outside its mask only
+    inner = F.array(*(longs(masks(radius, [i for i in range(64) if not m >> i & 1])) for m in first))
+    divided = hot.select("fp", "t", "key", keys(F.get(inner, F.col("t"))).alias("u", "sub"))
+    more, hot = _bucketed(divided, ["t", "key", "u", "sub"], radius, bucket)
+    edges = edges.unionByName(more)
+    if hot is not None:
+        edges = edges.unionByName(_midpoint_edges(hot.select("fp").distinct(), radius))
+    return edges.distinct()
 
 
 OUT = ("fingerprint", "component_id")

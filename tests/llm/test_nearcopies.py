@@ -10,7 +10,7 @@ def slow_least(rows):
     """rows: (id, text); the smallest id reachable over pairs of Jaccard 0.8 or more, for each id."""
     sets = {}
     for i, t in rows:
-        w = t.lower().split()
+        w = (t or "").encode().lower().split()
         sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
     root = {i: i for i in sets}
 

@@ -2,7 +2,7 @@ import corpus_pipeline as C
 from loomgraph.llm import decontaminate as D
 from loomgraph.llm import mixing as M
 from test_sharding import check
-from test_simhash import slow_components, slow_fingerprint
+from test_nearcopies import slow_least
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -12,10 +12,10 @@ def test_stages_against_brute_force(spark, sf):
     kept = C.drop_toxic(spark, docs, sf).cache()
     assert kept.columns == docs.columns and key(kept) == sorted(r["doc_id"] for r in scored.collect() if r["score"] < 0.3)
 
-    rows = kept.collect()
-    least = slow_components([(r["doc_id"], slow_fingerprint(r["text"])) for r in rows])
+    # five-word shingles, similarity 0.8 or more: all pairs of sets, compared whole
+    least = slow_least([(r["doc_id"], r["text"]) for r in kept.collect()])
     one = C.drop_near_copies(spark, kept, sf).cache()
-    assert one.columns == docs.columns and key(one) == sorted(set(least))
+    assert one.columns == docs.columns and key(one) == sorted(set(least.values()))
 
     tests = [(r["item_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     grams = {tuple(w[i : i + min(10, len(w))]) for w in (D.words_of(t) for _, t in tests) for i in range(max(1, len(w) - 9)) if w}

@@ -99,3 +99,30 @@ def test_keep_one(odd_docs, no_docs):
     assert [r["doc_id"] for r in S.keep_one(repeated).collect()] == [5]
     assert S.keep_one(no_docs).count() == 0
     assert kept.where(F.col("doc_id") == 4).first()["component_id"] == "q"
+
+
+def test_hot_buckets_are_divided_without_losing_links(spark):
+    """Fingerprints that share most bits: buckets stay large through both covering families."""
+    rng = np.random.default_rng(8)
+    fps = {int(x) for x in (rng.integers(0, 1 << 62, 1)[0] ^ rng.integers(0, 1 << 9, 400))} | {int(x) for x in rng.integers(0, 1 << 62, 50)}
+    uniq = spark.createDataFrame([(x,) for x in fps], "fp long")
+    for bucket in (2, 40):
+        edges = [(r["src"], r["dst"]) for r in S.link(uniq, bucket=bucket).collect()]
+        near = [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4]
+        assert groups(fps, edges) == groups(fps, near)
+
+
+def groups(items, edges):
+    root = {x: x for x in items}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    out = {}
+    for x in items:
+        out.setdefault(find(x), set()).add(x)
+    return sorted(map(sorted, out.values()))
