@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.runtime import cut_flat as cut
+from loomgraph.runtime import release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,7 +38,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     now = cut(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     for _ in range(max_rounds):
-        now = cut(_star(_star(now, True), False))
+        now, before = cut(_star(_star(now, True), False)), now
+        release(before)
         seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (seen["n"], seen["x"]) == mark:
             break

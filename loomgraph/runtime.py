@@ -4,22 +4,28 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import time
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds at least between two collections that `release` asks for.
+SWEEP = 5.0
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is
-    made; on a cluster the setting must be there, as executors do not share
-    local folders.
+    Only where that setting is absent and the master is local (tests, a laptop) a
+    temporary folder is made; on a cluster the setting must be there, as executors do
+    not share local folders.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loom-checkpoint-"))
 
 
@@ -38,7 +44,30 @@ def cut_flat(df: DataFrame) -> DataFrame:
     """
     done = cut(df)
     spark, plan = df.sparkSession, done._jdf.queryExecution()
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), done._jdf.schema(), False), spark)
+    out = DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), done._jdf.schema(), False), spark)
+    out._cut = done
+    return out
+
+
+_swept = 0.0
+
+
+def release(*done: DataFrame | None) -> None:
+    """Delete the files of tables that `cut` or `cut_flat` made and nothing reads any more: all that
+    came of them must have been cut itself. Now and then the driver is asked, too, to let go of
+    shuffles that nothing refers to, which would else fill the disks in a long loop."""
+    global _swept
+    for df in done:
+        if df is None:
+            continue
+        sc = df.sparkSession.sparkContext
+        file = getattr(df, "_cut", df)._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        if time.monotonic() > _swept + SWEEP:
+            sc._jvm.System.gc()
+            _swept = time.monotonic()
 
 
 def bound_batches(spark: SparkSession, rows: int = 1024) -> None:
