@@ -31,10 +31,10 @@ from pyspark.sql import types as T
 from loomgraph.llm.common import append, by_value, utf8
 from loomgraph.llm.simhash import OUT, SEED, link, majority, shingles
 from loomgraph.operators.components import connected_components
-from loomgraph.runtime import cut, cut_flat
+from loomgraph.runtime import cut, cut_flat, release
 
 SHINGLE = 5
-#: Texts that the order of the shingles is learned from, and common shingles at most.
+#: Texts that the order of the shingles is learned from (a tenth of all at most), and common shingles at most.
 SAMPLE, COMMON = 20_000, 400_000
 #: Keys that are sent to all tasks instead of shuffling the other side.
 SENT = 500_000
@@ -71,7 +71,7 @@ def _sets(docs: DataFrame, text_col: str, name: str) -> DataFrame:
 
 def _common(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several of the sampled texts hold, and how many do."""
-    share = min(1.0, SAMPLE / max(1, docs.count()))
+    share = min(0.1, SAMPLE / max(1, docs.count()))
     some = docs.select(text_col).where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < int(share * (1 << 20)))).distinct()
     counts = _sets(some, text_col, "s").select(F.explode("s").alias("t")).groupBy("t").count().where("count > 2")
     rows = counts.orderBy(F.desc("count"), "t").limit(COMMON).toPandas()
@@ -97,7 +97,9 @@ def _similar(pairs: DataFrame, docs: DataFrame, marked: DataFrame, text_col: str
     held = docs.select(text_col, F.xxhash64(text_col).alias("__h")).join(_sent(texts.select("__h")), "__h", "left_semi").dropDuplicates(["__h"])
     sets = cut_flat(_sets(held, text_col, "s").join(texts, "__h").select("sid", "s"))
     both = pairs.join(sets.select(F.col("sid").alias("dst"), F.col("s").alias("y")), "dst").join(sets.select(F.col("sid").alias("src"), F.col("s").alias("x")), "src")
-    return cut_flat(both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("src", "dst"))
+    out = cut_flat(both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("src", "dst"))
+    release(pairs, texts, sets)
+    return out
 
 
 def _candidates(uniq: DataFrame) -> DataFrame:
@@ -114,12 +116,13 @@ def _roots(edges: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, marked: DataFrame, uniq: DataFrame, text_col: str, rounds: int = ROUNDS) -> DataFrame:
-    """(sid, root) of the sets that are linked: the components at the threshold."""
+    """(sid, root) of the sets that are linked: the components at the threshold. Releases uniq."""
     edges = _similar(_candidates(uniq), docs, marked, text_col)
     roots = _roots(edges)
     keyed = uniq.select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
     tokens = cut(keyed.groupBy("token").count().where("count > 1").select("token"))
     rest, turn = _apart(keyed.join(_sent(tokens), "token"), roots), 0
+    release(uniq, tokens)
     while not rest.isEmpty():
         size = rest.groupBy("token").count().agg(F.sum(F.expr("count * (count - 1) / 2")), F.sum("count")).first()
         last = turn >= rounds or size[0] <= 4 * size[1]
@@ -131,11 +134,15 @@ def links(docs: DataFrame, marked: DataFrame, uniq: DataFrame, text_col: str, ro
             a, b = rest.groupBy("token").agg(first).select("token", "p.sid", "p.n", "p.pos", "p.root").alias("a"), rest.alias("b")
             other = "a.sid <> b.sid and a.root <> b.root"
         pairs = a.join(b, F.expr(f"a.token = b.token and {other} and {MAY}")).select(F.col("a.sid").alias("src"), F.col("b.sid").alias("dst"))
-        edges = cut_flat(edges.unionByName(_similar(pairs, docs, marked, text_col)))
+        more = _similar(pairs, docs, marked, text_col)
+        edges, old = cut_flat(edges.unionByName(more)), (edges, more, roots)
         roots = _roots(edges)
+        release(*old)
         if last:
-            return roots
-        rest, turn = _apart(rest, roots), turn + 1
+            break
+        rest, old, turn = _apart(rest, roots), rest, turn + 1
+        release(old)
+    release(edges, rest)
     return roots
 
 
@@ -163,10 +170,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return [pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
 
     fields = [T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
-    marked = cut(append(held.withColumn("__h", F.xxhash64(text_col)), compute, fields, () if text_col in keep else (text_col,)))
-    uniq = cut(marked.groupBy("sid").agg(F.min(id_col).alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
+    made = cut(append(held.withColumn("__h", F.xxhash64(text_col)), compute, fields, () if text_col in keep else (text_col,)))
+    marked = cut(made.drop("n", "fp", "prefix"))
+    uniq = cut(made.groupBy("sid").agg(F.min(id_col).alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
+    release(made)
+    reps = cut(uniq.select("sid", "rep"))
     roots = links(docs, marked, uniq, text_col, rounds)
-    grouped = uniq.select("sid", "rep").join(roots, "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
+    grouped = reps.join(roots, "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     linked = grouped.join(roots.select("root").distinct(), "root", "left_semi")
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = grouped.join(least, "root", "left").select("sid", F.coalesce("component_id", "rep").alias("component_id"))
