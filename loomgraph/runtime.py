@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import time
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -36,16 +37,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_flat(df: DataFrame) -> DataFrame:
-    """As cut, and forget too how rows are laid out, ordered and constrained.
+    """As cut, but by a written table, so that nothing of how rows were made or laid out is kept.
 
-    A checkpoint hands these on with all equal expressions it knows; in a loop that
+    A checkpoint hands on layouts and all equal expressions it knows; in a loop that
     joins its own result they double with each round, until planning takes longer
-    than the work. Tables that keep a layout on purpose take `cut`.
+    than the work. It also holds on to the shuffles it was made of. Tables that keep a
+    layout on purpose take `cut`.
     """
-    done = cut(df)
-    spark, plan = df.sparkSession, done._jdf.queryExecution()
-    out = DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), done._jdf.schema(), False), spark)
-    out._cut = done
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
     return out
 
 
@@ -60,10 +64,12 @@ def release(*done: DataFrame | None) -> None:
     for df in done:
         if df is None:
             continue
-        sc = df.sparkSession.sparkContext
-        file = getattr(df, "_cut", df)._jdf.queryExecution().logical().rdd().getCheckpointFile()
-        if file.isDefined():
-            path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+        sc, file = df.sparkSession.sparkContext, getattr(df, "_cut", None)
+        if file is None:
+            held = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+            file = held.get() if held.isDefined() else None
+        if file is not None:
+            path = sc._jvm.org.apache.hadoop.fs.Path(file)
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
         if time.monotonic() > _swept + SWEEP:
             sc._jvm.System.gc()
