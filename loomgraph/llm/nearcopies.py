@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 from loomgraph.llm.common import append, by_value, utf8
 from loomgraph.llm.simhash import OUT, SEED, link, majority, shingles
 from loomgraph.operators.components import connected_components
-from loomgraph.runtime import cut, cut_flat, release
+from loomgraph.runtime import cut_flat as cut
+from loomgraph.runtime import release
 
 SHINGLE = 5
 #: Texts that the order of the shingles is learned from (a tenth of all at most), and common shingles at most.
@@ -90,14 +91,14 @@ MAY = "5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) and 9 * least(a.n - a.pos,
 
 def _similar(pairs: DataFrame, docs: DataFrame, marked: DataFrame, text_col: str) -> DataFrame:
     """Of the pairs (src, dst) of sets those that are similar, by their whole sets."""
-    pairs = cut_flat(pairs.distinct())
+    pairs = cut(pairs.distinct())
     ids = pairs.select(F.explode(F.array("src", "dst")).alias("sid")).distinct()
     texts = cut(marked.join(ids, "sid", "left_semi").groupBy("sid").agg(F.min("__h").alias("__h")))
     # one text of each set: texts are compared by the hash by which keep_one() tells them apart
     held = docs.select(text_col, F.xxhash64(text_col).alias("__h")).join(_sent(texts.select("__h")), "__h", "left_semi").dropDuplicates(["__h"])
-    sets = cut_flat(_sets(held, text_col, "s").join(texts, "__h").select("sid", "s"))
+    sets = cut(_sets(held, text_col, "s").join(texts, "__h").select("sid", "s"))
     both = pairs.join(sets.select(F.col("sid").alias("dst"), F.col("s").alias("y")), "dst").join(sets.select(F.col("sid").alias("src"), F.col("s").alias("x")), "src")
-    out = cut_flat(both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("src", "dst"))
+    out = cut(both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("src", "dst"))
     release(pairs, texts, sets)
     return out
 
@@ -112,7 +113,7 @@ def _candidates(uniq: DataFrame) -> DataFrame:
 
 
 def _roots(edges: DataFrame) -> DataFrame:
-    return cut_flat(connected_components(edges).select(F.col("id").alias("sid"), F.col("component").alias("root")))
+    return cut(connected_components(edges).select(F.col("id").alias("sid"), F.col("component").alias("root")))
 
 
 def links(docs: DataFrame, marked: DataFrame, uniq: DataFrame, text_col: str, rounds: int = ROUNDS) -> DataFrame:
@@ -135,7 +136,7 @@ def links(docs: DataFrame, marked: DataFrame, uniq: DataFrame, text_col: str, ro
             other = "a.sid <> b.sid and a.root <> b.root"
         pairs = a.join(b, F.expr(f"a.token = b.token and {other} and {MAY}")).select(F.col("a.sid").alias("src"), F.col("b.sid").alias("dst"))
         more = _similar(pairs, docs, marked, text_col)
-        edges, old = cut_flat(edges.unionByName(more)), (edges, more, roots)
+        edges, old = cut(edges.unionByName(more)), (edges, more, roots)
         roots = _roots(edges)
         release(*old)
         if last:
@@ -150,7 +151,7 @@ def _apart(rest: DataFrame, roots: DataFrame) -> DataFrame:
     """The entries of the buckets whose sets are of several components, with these."""
     rest = rest.drop("root").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     several = rest.groupBy("token").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u <> v").select("token")
-    return cut_flat(rest.join(several, "token", "left_semi"))
+    return cut(rest.join(several, "token", "left_semi"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), rounds: int = ROUNDS) -> DataFrame:
