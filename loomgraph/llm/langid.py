@@ -2,8 +2,8 @@
 character n-grams, trained by follow-the-regularised-leader with elastic-net
 penalties, then calibrated by one temperature.
 
-Training takes a bounded sample, at most PER_LANGUAGE rows of each language, the
-rows of the least hashes of their ids; the corpus's document frequencies come from
+Training takes a bounded sample, at most PER_LANGUAGE rows and PER_LANGUAGE_CHARS characters of each
+language, the rows of the least hashes of their ids; every language is learned, however many there are; the corpus's document frequencies come from
 all training rows. A tenth of the sample is held back for the temperature.
 Prediction covers every whole text in one pass, without a shuffle.
 
@@ -25,9 +25,8 @@ from pyspark.sql import types as T
 from loomgraph.llm.common import append, by_value, table
 from loomgraph.runtime import bound_batches
 
-#: Rows of each language to learn from, and languages at most (the most frequent).
-PER_LANGUAGE = 600
-LANGUAGES = 256
+#: Rows of each language to learn from, and characters of their texts (by which the last row is cut).
+PER_LANGUAGE, PER_LANGUAGE_CHARS = 600, 8_000_000
 #: Feature slots of the hashed n-grams (a power of two), and the n-grams' lengths.
 SLOTS = 1 << 15
 GRAMS = (1, 2, 3, 4)
@@ -147,7 +146,10 @@ def sample(rows: DataFrame, counts: dict[str, int], id_col: str, text_col: str,
         return []
     wanted = rows.sparkSession.createDataFrame([(i,) for i in ids], rows.select(F.col(id_col).alias("__i")).schema)
     texts = rows.join(F.broadcast(wanted), F.col(id_col) == F.col("__i"), "left_semi").where(F.col(text_col).isNotNull())
-    got = texts.groupBy(id_col, lang_col).agg(F.min(text_col))  # an id may repeat, and often
+    got = texts.groupBy(id_col, lang_col).agg(F.min(text_col).alias("t"))  # an id may repeat, and often
+    order = Window.partitionBy(lang_col).orderBy(F.pmod(F.xxhash64(id_col), F.lit(1 << 40)), id_col).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.lit(PER_LANGUAGE_CHARS) - F.coalesce(F.sum(F.length("t")).over(order), F.lit(0))
+    got = got.withColumn("left", left).where("left > 0").select(id_col, lang_col, F.expr("left(t, cast(left as int))"))
     return [(r[2], r[1]) for r in sorted(got.collect(), key=lambda r: (str(r[0]), r[1]))]
 
 
@@ -176,11 +178,10 @@ def frequencies(rows: DataFrame, text_col: str, size: int = SLOTS) -> tuple[np.n
 
 
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> dict | None:
-    top = rows.where(F.col(lang_col).isNotNull()).groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES)
-    counts = {r[0]: r[1] for r in top.collect()}
+    known = rows.where(F.col(lang_col).isNotNull())
+    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}  # a row a language
     if not counts:
         return None
-    known = rows.where(F.col(lang_col).isin([*counts]))
     texts = sample(known, counts, id_col, text_col, lang_col, per_language)
     if not texts:
         return None

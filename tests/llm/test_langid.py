@@ -46,3 +46,16 @@ def test_odd_rows(odd_docs, no_docs):
     assert all(0 <= r["score"] <= 1 for r in out) and {r["lang_pred"] for r in out} <= {"und", "en", "de", "fr"}
     assert L.train(no_docs) is None and L.predict(no_docs, None).count() == 0
     assert {r["lang_pred"] for r in L.predict(odd_docs, None).collect()} == {"und"}
+
+
+def test_every_language_is_learned_and_texts_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(L, "PER_LANGUAGE_CHARS", 300)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, " ".join(letters[i % 20] * 3 + letters[i % 20 + 1] for _ in range(12)), f"l{i % 20}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {f"l{i}": 10 for i in range(20)}
+    texts = L.sample(docs, counts, "doc_id", "text", "lang", 600)
+    size = {n: sum(len(t) for t, lang in texts if lang == n) for n in counts}
+    assert set(size.values()) == {300}
+    got = {r["doc_id"]: r["lang_pred"] for r in L.predict(docs, L.train(docs)).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) > 190
