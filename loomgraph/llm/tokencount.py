@@ -147,6 +147,8 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, text_col: str = "text", l
                 from tokenizers import Tokenizer
 
                 other = Tokenizer.from_str(spec_)
+                other.no_truncation()
+                other.no_padding()
                 made.append(lambda texts: [len(e.ids) for e in other.encode_batch(texts, add_special_tokens=False)])
         texts = [t or "" for t in batch.column(text_col).to_pylist()]
         counts = made[0](texts)

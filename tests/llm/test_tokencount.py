@@ -47,3 +47,15 @@ def test_other_tokenizers_are_counted_by_their_library(odd_docs):
     rows = C.count_tokens(odd_docs, path).collect()
     t = Tokenizer.from_file(path)
     assert [r["n_tokens"] for r in rows] == [len(t.encode(r["text"] or "", add_special_tokens=False).ids) for r in rows]
+
+
+def test_other_tokenizers_do_not_truncate(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    plain = Tokenizer(models.WordLevel({"a": 0, "b": 1, "[UNK]": 2}, unk_token="[UNK]"))
+    plain.pre_tokenizer = pre_tokenizers.Whitespace()
+    plain.enable_truncation(3)
+    plain.enable_padding(length=5)
+    plain.save(f"{tmp_path}/t.json")
+    docs = spark.createDataFrame([(1, "a b a b a b a"), (2, "a")], "doc_id long, text string")
+    assert [r["n_tokens"] for r in C.count_tokens(docs, f"{tmp_path}/t.json").orderBy("doc_id").collect()] == [7, 1]
