@@ -6,8 +6,9 @@ of the longest test item. Every suffix of every test item is binary-searched in
 it; the longest verbatim matches, their places and all places of the item's
 windows come back with the document.
 
-The test side is read in blocks of bounded size, each sent to all shards; the
-rows of the training side are never shuffled.
+The test side is read in blocks of bounded size, each sent to all shards; a task
+holds one block at a time and reads the next one from its disk. The rows of the training side are
+never shuffled.
 
 Edge cases: a null or empty text has no words and no hits; an item with fewer
 words than the window is one window of all its words, an item without words
@@ -275,20 +276,21 @@ def find_matches(
     letters = shard_words * 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests_ = [b.value for b in held]
-
         def flush(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = [t for b in group for t in b.column(text_col).cast(pa.binary()).to_pylist()]
-            rows = scan_texts(texts, tests_[0])
-            for test in tests_[1:]:
-                rows = [_merge(a, b) for a, b in zip(rows, scan_texts(texts, test))]
+            rows = None
+            for block in held:
+                found = scan_texts(texts, block.value)
+                rows = found if rows is None else [_merge(a, b) for a, b in zip(rows, found)]
+                if len(held) > 1:
+                    block.__dict__.pop("_value", None)  # one block in memory at a time
             at = 0
             for b in group:
                 part, at = rows[at : at + b.num_rows], at + b.num_rows
                 yield pa.RecordBatch.from_arrays([b.column(k) for k in keep] + _columns(part), names=keep + [f.name for f in FIELDS])
 
         group, size = [], 0
-        for batch in batches:
+        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
             group.append(batch)
             size += batch.column(text_col).nbytes
             if size >= letters:
