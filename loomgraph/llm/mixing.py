@@ -6,7 +6,8 @@ entropy reaches the target, but not below the least at which no source is repeat
 more often than the limit allows. The weights are then realised under a token
 budget: a source of weight w gets w * budget tokens, as whole passes over its
 documents and a part of one more. Each pass is a block permutation: blocks of
-documents in an order drawn for the pass, and documents within a block in another.
+documents in an order drawn for the pass, and documents within a block in another, drawn for the pass
+too. `places` has them for each pass that takes the row; mixture() gives a row for each.
 
 `budget=None` is the smallest budget at which each source is passed at least once,
 so that the mixture repeats small sources and loses no document.
@@ -35,7 +36,7 @@ PASSES = 4.0
 SEED = "mix-0"
 #: Blocks that a source's documents are dealt to.
 BLOCKS = 1024
-OUT = ("n_tokens", "weight", "copies", "pass_order")
+OUT = ("n_tokens", "weight", "copies", "pass_order", "places")
 
 
 def weights(tokens: dict, exponent: float) -> dict:
@@ -125,15 +126,36 @@ def mix(
     within = Window.partitionBy("__src", "__block").orderBy("__order", "__n", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = keyed.select(*kept, *keys).withColumn("__upto", F.sum("__n").over(within))
     taken = (F.col("__before") + F.col("__upto") <= F.col("__part")) & (F.col("__n") > 0)
-    return placed.join(ahead, ["__src", "__block"]).select(
+    drawn = lambda p, *by: F.md5(F.concat_ws("|", F.lit(SEED), p.cast("string"), *by))
+    place = lambda p: F.struct(
+        p.alias("pass"),
+        F.when(p > F.col("__whole"), turn).otherwise(drawn(p, "__src", F.col("__block").cast("string"))).alias("block_at"),
+        F.when(p > F.col("__whole"), F.col("__order")).otherwise(drawn(p, F.col("__order"))).alias("row_at"),
+    )
+    mixed = placed.join(ahead, ["__src", "__block"]).withColumn("__copies", (F.col("__whole") + F.when(taken, 1).otherwise(0)).cast("int"))
+    return mixed.select(
         *kept,
         F.col("__n").alias("n_tokens"),
         "weight",
-        (F.col("__whole") + F.when(taken, 1).otherwise(0)).cast("int").alias("copies"),
+        F.col("__copies").alias("copies"),
         F.col("__order").alias("pass_order"),
+        F.when(F.col("__copies") > 0, F.transform(F.sequence(F.lit(1), F.col("__copies")), place)).alias("places"),
     )
 
 
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The rows of the mixture: each document as often as its source's passes take it, with the
+    pass, and block_at and row_at, by which a source's pass is ordered (columns so named are replaced)."""
+    kept = [c for c in docs.columns if c not in ("pass", "block_at", "row_at")]
+    keys = [F.col(c).alias(f"__own_{i}") for i, c in enumerate(kept)]
+    own = {k: docs[options.get(k, d)] for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    held = docs.select(*keys, *(c.alias(f"__{k}") for k, c in own.items()))
+    options = {k: v for k, v in options.items() if k not in own} | {k: f"__{k}" for k in own}
+    out = mix(held, keep=tuple(f"__own_{i}" for i in range(len(kept))), **options)
+    rows = out.select(*(F.col(f"__own_{i}").alias(c) for i, c in enumerate(kept)), F.explode("places").alias("__place"))
+    return rows.select(*kept, "__place.*")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs, budget="corpus", keep=("doc_id", "source")).withColumn("weight", F.round("weight", 9))
+    return mix(docs, budget="corpus", keep=("doc_id", "source")).withColumn("weight", F.round("weight", 9)).drop("places")

@@ -32,3 +32,21 @@ def test_cover_loses_no_document(odd_docs, no_docs):
     assert M.mix(no_docs).count() == 0
     empty = odd_docs.where("text is null or text = ''")
     assert [r["copies"] for r in M.mix(empty, budget="corpus").collect()] == [1, 1, 1]
+
+
+def test_passes_are_block_permutations_of_their_own(spark):
+    docs = spark.createDataFrame([(i, "a b c " * (1 + i % 3), "big" if i % 9 else "small") for i in range(400)], "doc_id long, text string, source string")
+    rows = M.mixture(docs, blocks=4).collect()
+    copies = {r["doc_id"]: r["copies"] for r in M.mix(docs, blocks=4).collect()}
+    assert len(rows) == sum(copies.values()) and set(copies) == set(range(400))
+    small = sorted(r["pass"] for r in rows if r["source"] == "small")
+    assert max(small) > 1
+    orders = {}
+    for p in sorted(set(small))[:2]:
+        part = sorted((r["block_at"], r["row_at"], r["doc_id"]) for r in rows if r["source"] == "small" and r["pass"] == p)
+        assert len({b for b, *_ in part}) <= 4
+        orders[p] = [i for *_, i in part]
+    assert orders[1] != orders[2]
+    clash = docs.selectExpr("doc_id", "text", "source", "1 as copies", "2 as pass", "'x' as weight")
+    got = M.mixture(clash, blocks=4)
+    assert got.columns == ["doc_id", "text", "source", "copies", "weight", "pass", "block_at", "row_at"] and got.count() == len(rows)
