@@ -71,28 +71,28 @@ def auto_resolution(g: Graph) -> float:
 
 def label_propagation(g: Graph, rounds: int = 20, tolerance: float = 0.05, start: DataFrame | None = None, affected: DataFrame | None = None) -> DataFrame:
     """(id, community): each round a vertex takes the label of the greatest weight among its
-    neighbours; ties go to the label of the greatest hash, so that no label wins everywhere. Vertices of even and odd hashes move in
-    turn, which keeps pairs from swapping for ever. start: labels to begin from; affected
+    neighbours; ties go to the label of the greatest hash, so that no label wins everywhere. One half of the
+    vertices moves, then the other, and halves are drawn anew for each round, which keeps pairs from
+    swapping for ever. It ends when a round moves no more than `tolerance` of the vertices. start: labels to begin from; affected
     (id): only these may move, and then the neighbours of what moved.
     """
     label = cut((start if start is not None else g.vertices.select("id", F.col("id").alias("community"))).select("id", "community"))
     n = max(1, label.count())
     may = cut(affected.select("id").distinct()) if affected is not None else None
-    half, still = 0, 0
-    for _ in range(2 * rounds):
+    changed = 0
+    for turn_no in range(2 * rounds):
         rows = g.edges.join(label.withColumnRenamed("id", "dst"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
         best = rows.groupBy("src").agg(F.max(F.struct("w", F.xxhash64("community").alias("h"), F.col("community").alias("c"))).alias("b")).select(F.col("src").alias("id"), F.col("b.c").alias("new"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == half
+        turn = F.pmod(F.xxhash64("id", F.lit(turn_no // 2)), F.lit(2)) == turn_no % 2
         if may is not None:
             best = best.join(may, "id", "left_semi")
         joined = cut(label.join(best.where(turn), "id", "left").select("id", "community", F.coalesce("new", "community").alias("new")))
         moved = joined.where("community <> new").select("id")
-        changed = moved.count()
+        changed = moved.count() + (changed if turn_no % 2 else 0)
         label = joined.select("id", F.col("new").alias("community"))
         if may is not None:
             may = cut(may.union(g.edges.join(moved.withColumnRenamed("id", "src"), "src").select("dst")).distinct())
-        half, still = 1 - half, still + 1 if changed <= tolerance * n / 2 else 0
-        if still == 2:
+        if turn_no % 2 and changed <= tolerance * n:
             break
     return label
 
@@ -237,8 +237,9 @@ def least_size(n: int, communities: int) -> int:
 def incremental_aggregation(g: Graph, limit: int = 200_000) -> DataFrame:
     """(id, community, place): Rabbit-style merging of each vertex, degrees ascending, into the
     neighbour of the greatest gain w - s_u s_v / W (ties: the smaller id), and the depth-first
-    place in the tree of merges. One task a component; a component of more than `limit`
-    vertices is one community, placed by id.
+    place in the tree of merges. One task a component; components of more than `limit`
+    vertices are merged in distributed rounds instead (louvain at resolution 1), each
+    vertex placed by the communities it goes through, the largest first.
     """
     from loomgraph.operators.kernels import components
 
@@ -292,8 +293,14 @@ def incremental_aggregation(g: Graph, limit: int = 200_000) -> DataFrame:
     large = marked.where(F.col("n") > limit)
     if large.isEmpty():
         return small
-    placed = numbered(large.select("id", "component"), F.col("component"), F.col("id"), name="place")
-    return small.union(placed.select("id", F.col("component").alias("community"), "place"))
+    big = Graph(large.select("id"), g.edges.join(large.select(F.col("id").alias("src")), "src", "left_semi"))
+    found, levels = louvain(big, 1.0)
+    placed, path = found, []
+    for k, level in enumerate(levels[:-1]):
+        placed = placed.join(level.select("id", F.col("community").alias(f"l{k}")), "id")
+        path.insert(0, F.col(f"l{k}"))
+    placed = numbered(placed, F.col("community"), *path, F.col("id"), name="place")
+    return small.union(placed.select("id", "community", "place"))
 
 
 def rabbit(g: Graph) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomgraph.graph import Graph
 from loomgraph.operators.construct import degree_oriented, degrees
 from loomgraph.runtime import cut_flat as cut
+from loomgraph.runtime import laid_out
 
 DAMPING = 0.85
 #: Rounds that share a plan before it is cut.
@@ -16,9 +17,9 @@ EVERY = 4
 
 
 def _shares(g: Graph) -> DataFrame:
-    """Edges with 1 / out-degree of their source."""
+    """Edges with 1 / out-degree of their source, laid out by it: rounds move ranks only."""
     out = g.edges.groupBy("src").agg((1.0 / F.count("*")).alias("share"))
-    return cut(g.edges.select("src", "dst").join(out, "src"))
+    return laid_out(g.edges.select("src", "dst").join(out, "src"))
 
 
 def pagerank(g: Graph, max_iters: int = 20, epsilon: float = 1e-4, fixed_work: bool = False, damping: float = DAMPING) -> tuple[DataFrame, dict]:
@@ -35,7 +36,7 @@ def pagerank(g: Graph, max_iters: int = 20, epsilon: float = 1e-4, fixed_work: b
     still = ids.select(F.col("id"), F.lit(0.0).alias("c"))
     error, done = None, 0
     for turn in range(1, max_iters + 1):
-        sent = shares.join(rank, shares["src"] == rank["id"]).select(F.col("dst").alias("id"), (F.col("score") * F.col("share")).alias("c"))
+        sent = shares.join(rank.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), (F.col("score") * F.col("share")).alias("c"))
         new = sent.unionAll(still).groupBy("id").agg((F.lit(base) + damping * F.sum("c")).alias("score"))
         done = turn
         if fixed_work:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
 from loomgraph.runtime import cut_flat as cut
+from loomgraph.runtime import laid_out, release
 
 
 class VertexProgram(Protocol):
@@ -34,22 +35,30 @@ class Superstep:
 
 def run(g: Graph, program: VertexProgram, max_steps: int = 100) -> tuple[DataFrame, list[Superstep]]:
     """(id, state) and what each superstep did. A dense program gathers over all edges; another only
-    from vertices whose state changed. Both states of a step are plans, so none is overwritten."""
+    from vertices whose state changed, and raises if some still change after max_steps; a dense one
+    ends there. Both states of a step are tables, so none is overwritten."""
     out = g.edges.groupBy("src").agg(F.count("*").alias("out_degree"))
-    edges = cut(g.edges.join(out, "src"))
-    state = cut(program.start(g).withColumn("active", F.lit(True)))
+    edges = laid_out(g.edges.join(out, "src"))
+    degree = cut(out.withColumnRenamed("src", "id"))
+    state = cut(program.start(g).join(degree, "id", "left").withColumn("active", F.lit(True)))
+    work = F.struct(F.count_if("active").alias("moved"), F.coalesce(F.sum(F.when(F.lit(program.dense) | F.col("active"), F.col("out_degree"))), F.lit(0)).alias("edges"))
+    reads = state.agg(work.alias("w")).first()["w"]["edges"]
     log: list[Superstep] = []
     for step in range(1, max_steps + 1):
         senders = state if program.dense else state.where("active")
         e = edges.join(senders.select(F.col("id").alias("src"), F.col("state").alias("s")), "src")
         near = e.groupBy(F.col("dst").alias("id")).agg(program.combine(program.gather(F.col("s"), {c: F.col(c) for c in ("src", "dst", "weight", "out_degree")})).alias("g"))
-        rows = state.select("id", "state").join(near, "id", "left").select("id", F.col("state").alias("old"), program.apply(F.col("state"), F.col("g")).alias("state"))
-        rows = cut(rows.withColumn("active", program.active(F.col("old"), F.col("state"))))
-        moved = rows.where("active").count()
-        log.append(Superstep(step, moved, e.count() if program.dense and step == 1 else 0))
-        state = rows.select("id", "state", "active")
-        if program.converged(rows) or (not program.dense and moved == 0):
+        rows = state.select("id", "state", "out_degree").join(near, "id", "left").select("id", "out_degree", F.col("state").alias("old"), program.apply(F.col("state"), F.col("g")).alias("state"))
+        rows = cut(rows.withColumn("active", F.coalesce(program.active(F.col("old"), F.col("state")), F.lit(False))))
+        now = rows.agg(work.alias("w")).first()["w"]
+        log.append(Superstep(step, now["moved"], reads))
+        release(state)
+        state, reads = rows, now["edges"]
+        if program.converged(rows) or (not program.dense and now["moved"] == 0):
             break
+    else:
+        if not program.dense:
+            raise RuntimeError(f"not settled after {max_steps} supersteps: {log[-1].active if log else 'all'} vertices still change")
     return state.select("id", "state"), log
 
 
@@ -126,7 +135,7 @@ def components(g: Graph) -> DataFrame:
     from loomgraph.operators.construct import weakly_flat
 
     both = Graph(g.vertices, weakly_flat(g), False)
-    return run(both, ComponentProgram())[0].withColumnRenamed("state", "component")
+    return run(both, ComponentProgram(), max_steps=10_000)[0].withColumnRenamed("state", "component")
 
 
 def sssp(g: Graph, source: int) -> DataFrame:

@@ -13,7 +13,8 @@ from loomgraph.graph import Graph
 #: The last-level cache that the published evidence implies; a parameter of every rule.
 CACHE = 22 << 20
 KERNELS = ("pr", "pr_spmv", "bfs", "cc", "cc_sv", "bc", "sssp")
-LOW_REUSE = "leiden:compose:sg_none:comm_size_desc:intra_gorder:gw8:gordf5000:norefine:2:2"
+#: The published plan of the low-reuse rule, and its thresholds below.
+LOW_REUSE = "leiden:compose:sg_none:comm_size_desc:intra_gorder:gw8:cd_parallel:sgmb4096:gordf5000:norefine:2:2"
 FALLBACK = "8:rabbit"
 
 

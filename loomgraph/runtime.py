@@ -53,6 +53,12 @@ def cut_flat(df: DataFrame) -> DataFrame:
     return out
 
 
+def laid_out(df: DataFrame, key: str = "src") -> DataFrame:
+    """df cut once, spread and sorted by a key, and known to be so: loops that join it by
+    the key move the other side only."""
+    return cut(df.repartition(partitions(df.sparkSession), key).sortWithinPartitions(key))
+
+
 _swept = 0.0
 
 
