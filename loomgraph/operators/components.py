@@ -3,15 +3,55 @@
 Each round is two joins-free aggregations over the edges; edges only ever move
 towards smaller ids, so the label of a component is its smallest vertex id. The
 edge table shrinks to one star a component in a logarithmic number of rounds.
+
+Before the rounds, tasks of at most LOCAL edges each replace their edges by one star a
+component of what they hold, which keeps all components. Where one task holds all edges
+that is the result already; else the rounds begin with far fewer edges.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from loomgraph.runtime import by_value, release
 from loomgraph.runtime import cut_flat as cut
-from loomgraph.runtime import release
+
+#: Edges that a task contracts by itself.
+LOCAL = 250_000
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertex, least vertex of its component) of the edges, without the least ones themselves."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: u.size], at[u.size :]
+    label = np.arange(ids.size)
+    while a.size:
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        # x and y are roots: the greater is hung below the smaller, then all point to roots again
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(ids.size))
+    return ids[moved], ids[label[moved]]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """edges(u, v) of longs with those of each partition replaced by stars."""
+
+    def run(batches):
+        held = list(batches)
+        if held:
+            whole = pa.Table.from_batches(held)
+            u, v = stars(whole["u"].to_numpy(), whole["v"].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,7 +69,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50, local: int = LOCAL) -> DataFrame:
     """(id, component) of every vertex with an edge to another; component = smallest id.
 
     Loops and null ends are ignored. Directed edges count as undirected.
@@ -37,14 +77,25 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     now = cut(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
+    if all(f.dataType == T.LongType() for f in now.schema):
+        parts = max(1, -(-now.count() // local))
+        now, before = cut(_contracted(now.repartition(parts) if parts > 1 else now.coalesce(1))), now
+        release(before)
+        if parts == 1:
+            return _labels(now)
     for _ in range(max_rounds):
         now, before = cut(_star(_star(now, True), False)), now
         release(before)
         seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (seen["n"], seen["x"]) == mark:
-            break
+            return _labels(now)
         mark = (seen["n"], seen["x"])
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    # settled: every edge joins a vertex with its component's least
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def _labels(settled: DataFrame) -> DataFrame:
+    """Of edges that join every vertex (u) with its component's least (v), a row for each vertex."""
+    return settled.select(F.col("u").alias("id"), F.col("v").alias("component")).union(settled.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+by_value(__name__)

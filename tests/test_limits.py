@@ -1,9 +1,11 @@
 """No result is cut short: loops that run out of steps say so, and large components are merged like small ones."""
 
+import numpy as np
 import pytest
 
 from loomgraph.graph import Graph
 from loomgraph.operators import communities
+from loomgraph.operators.components import connected_components
 from loomgraph.plans import gas
 from loomgraph.runtime import cut, cut_flat, ensure_checkpoint_dir, release
 
@@ -41,3 +43,26 @@ def test_released_tables_are_gone(spark):
         release(done, None)
         with pytest.raises(Exception):  # noqa: B017
             done.count()
+
+
+def test_components_by_tasks_and_by_rounds_are_the_same(spark):
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-150, 150, (130, 2))] + [(k, k + 1) for k in range(1000, 1040)] + [(7, 7), (None, 3), (2000, -3), (2000, -3)]
+    root = {}
+
+    def least(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and a != b:
+            a, b = least(a), least(b)
+            root[max(a, b)] = min(a, b)
+    want = sorted((x, least(x)) for x in root)
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    for local in (1_000_000, 40, 9):
+        assert sorted(map(tuple, connected_components(edges, local=local).collect())) == want
+    assert connected_components(edges.limit(0)).count() == 0
+    # other types go by the rounds alone
+    assert connected_components(edges.selectExpr("cast(src as int) src", "cast(dst as int) dst")).count() == len(want)
