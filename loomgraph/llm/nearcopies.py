@@ -92,6 +92,8 @@ MAY = "5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) and 9 * least(a.n - a.pos,
 def _similar(pairs: DataFrame, docs: DataFrame, marked: DataFrame, text_col: str) -> DataFrame:
     """Of the pairs (src, dst) of sets those that are similar, by their whole sets."""
     pairs = cut(pairs.distinct())
+    if pairs.isEmpty():
+        return pairs
     ids = pairs.select(F.explode(F.array("src", "dst")).alias("sid")).distinct()
     texts = cut(marked.join(ids, "sid", "left_semi").groupBy("sid").agg(F.min("__h").alias("__h")))
     # one text of each set: texts are compared by the hash by which keep_one() tells them apart
@@ -135,14 +137,19 @@ def links(docs: DataFrame, marked: DataFrame, uniq: DataFrame, text_col: str, ro
             a, b = rest.groupBy("token").agg(first).select("token", "p.sid", "p.n", "p.pos", "p.root").alias("a"), rest.alias("b")
             other = "a.sid <> b.sid and a.root <> b.root"
         pairs = a.join(b, F.expr(f"a.token = b.token and {other} and {MAY}")).select(F.col("a.sid").alias("src"), F.col("b.sid").alias("dst"))
-        more = _similar(pairs, docs, marked, text_col)
-        edges, old = cut(edges.unionByName(more)), (edges, more, roots)
-        roots = _roots(edges)
-        release(*old)
+        more, turn = _similar(pairs, docs, marked, text_col), turn + 1
+        if more.isEmpty():
+            # nothing new: the components stay, and with them the buckets
+            release(more)
+        else:
+            edges, old = cut(edges.unionByName(more)), (edges, more, roots)
+            roots = _roots(edges)
+            release(*old)
+            if not last:
+                rest, old = _apart(rest, roots), rest
+                release(old)
         if last:
             break
-        rest, old, turn = _apart(rest, roots), rest, turn + 1
-        release(old)
     release(edges, rest)
     return roots
 
