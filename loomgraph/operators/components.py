@@ -41,14 +41,17 @@ def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[moved], ids[label[moved]]
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
-    """edges(u, v) of longs with those of each partition replaced by stars."""
+def _contracted(edges: DataFrame, whole: bool = False) -> DataFrame:
+    """edges(u, v) of longs with those of each partition replaced by stars; with `whole`, for
+    edges in one partition, each star's centre has a row with itself, too."""
 
     def run(batches):
         held = list(batches)
         if held:
-            whole = pa.Table.from_batches(held)
-            u, v = stars(whole["u"].to_numpy(), whole["v"].to_numpy())
+            found = pa.Table.from_batches(held)
+            u, v = stars(found["u"].to_numpy(), found["v"].to_numpy())
+            if whole:
+                u, v = np.concatenate([u, np.unique(v)]), np.concatenate([v, np.unique(v)])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return edges.mapInArrow(run, "u long, v long")
@@ -75,14 +78,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Loops and null ends are ignored. Directed edges count as undirected.
     """
     now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
-    now = cut(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     mark = None
     if all(f.dataType == T.LongType() for f in now.schema):
+        now = cut(now)
         parts = max(1, -(-now.count() // local))
-        now, before = cut(_contracted(now.repartition(parts) if parts > 1 else now.coalesce(1))), now
+        alone = parts == 1
+        now, before = cut(_contracted(now.coalesce(1) if alone else now.repartition(parts), alone)), now
         release(before)
-        if parts == 1:
-            return _labels(now)
+        if alone:
+            return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    else:
+        now = cut(now.distinct())
     for _ in range(max_rounds):
         now, before = cut(_star(_star(now, True), False)), now
         release(before)
