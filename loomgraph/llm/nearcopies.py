@@ -89,28 +89,28 @@ def _sent(df: DataFrame) -> DataFrame:
 MAY = "5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) and 9 * least(a.n - a.pos, b.n - b.pos) >= 4 * (a.n + b.n)"
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, marked: DataFrame, text_col: str) -> DataFrame:
+def _similar(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text_col: str) -> DataFrame:
     """Of the pairs (src, dst) of sets those that are similar, by their whole sets."""
     pairs = cut(pairs.distinct())
     if pairs.isEmpty():
         return pairs
-    ids = pairs.select(F.explode(F.array("src", "dst")).alias("sid")).distinct()
-    texts = cut(marked.join(ids, "sid", "left_semi").groupBy("sid").agg(F.min("__h").alias("__h")))
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("sid"), "src", "dst")
+    texts = cut(reps.join(_sent(ends.select("sid")), "sid", "left_semi").select("sid", "h"))
     # one text of each set: texts are compared by the hash by which keep_one() tells them apart
-    held = docs.select(text_col, F.xxhash64(text_col).alias("__h")).join(_sent(texts.select("__h")), "__h", "left_semi").dropDuplicates(["__h"])
-    sets = cut(_sets(held, text_col, "s").join(texts, "__h").select("sid", "s"))
-    both = pairs.join(sets.select(F.col("sid").alias("dst"), F.col("s").alias("y")), "dst").join(sets.select(F.col("sid").alias("src"), F.col("s").alias("x")), "src")
-    out = cut(both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("src", "dst"))
-    release(pairs, texts, sets)
+    held = docs.select(text_col, F.xxhash64(text_col).alias("h")).join(_sent(texts.select("h")), "h", "left_semi").dropDuplicates(["h"])
+    sets = _sets(held, text_col, "s").join(_sent(texts), "h").select("sid", "s")
+    both = sets.join(_sent(ends), "sid").groupBy("src", "dst").agg(F.collect_list("s").alias("s"))
+    out = cut(both.where("9 * size(array_intersect(s[0], s[1])) >= 4 * (size(s[0]) + size(s[1]))").select("src", "dst"))
+    release(pairs, texts)
     return out
 
 
 def _candidates(uniq: DataFrame) -> DataFrame:
     """Pairs (src, dst) of sets whose fingerprints are equal or linked by the covering tables."""
     one = cut(uniq.groupBy("fp").agg(F.min("sid").alias("first")))
-    equal = uniq.join(one, "fp").where("sid <> first").select(F.col("first").alias("src"), F.col("sid").alias("dst"))
+    equal = uniq.join(_sent(one), "fp").where("sid <> first").select(F.col("first").alias("src"), F.col("sid").alias("dst"))
     left, right = one.select(F.col("fp").alias("src"), F.col("first").alias("a")), one.select(F.col("fp").alias("dst"), F.col("first").alias("b"))
-    near = link(one.select("fp")).join(left, "src").join(right, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    near = link(one.select("fp")).join(_sent(left), "src").join(_sent(right), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return equal.unionByName(near)
 
 
@@ -118,9 +118,9 @@ def _roots(edges: DataFrame) -> DataFrame:
     return cut(connected_components(edges).select(F.col("id").alias("sid"), F.col("component").alias("root")))
 
 
-def links(docs: DataFrame, marked: DataFrame, uniq: DataFrame, text_col: str, rounds: int = ROUNDS) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, uniq: DataFrame, text_col: str, rounds: int = ROUNDS) -> DataFrame:
     """(sid, root) of the sets that are linked: the components at the threshold. Releases uniq."""
-    edges = _similar(_candidates(uniq), docs, marked, text_col)
+    edges = _similar(_candidates(uniq), docs, reps, text_col)
     roots = _roots(edges)
     keyed = uniq.select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
     tokens = cut(keyed.groupBy("token").count().where("count > 1").select("token"))
@@ -128,16 +128,18 @@ def links(docs: DataFrame, marked: DataFrame, uniq: DataFrame, text_col: str, ro
     release(uniq, tokens)
     while not rest.isEmpty():
         size = rest.groupBy("token").count().agg(F.sum(F.expr("count * (count - 1) / 2")), F.sum("count")).first()
-        last = turn >= rounds or size[0] <= 4 * size[1]
+        last, pivots = turn >= rounds or size[0] <= 4 * size[1], None
         if last:
             a, b = rest.alias("a"), rest.alias("b")
             other = "a.sid < b.sid and a.root <> b.root"
         else:
             first = F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "n", "pos", "root")).alias("p")
-            a, b = rest.groupBy("token").agg(first).select("token", "p.sid", "p.n", "p.pos", "p.root").alias("a"), rest.alias("b")
+            pivots = cut(rest.groupBy("token").agg(first).select("token", "p.sid", "p.n", "p.pos", "p.root"))
+            a, b = _sent(pivots).alias("a"), rest.alias("b")
             other = "a.sid <> b.sid and a.root <> b.root"
         pairs = a.join(b, F.expr(f"a.token = b.token and {other} and {MAY}")).select(F.col("a.sid").alias("src"), F.col("b.sid").alias("dst"))
-        more, turn = _similar(pairs, docs, marked, text_col), turn + 1
+        more, turn = _similar(pairs, docs, reps, text_col), turn + 1
+        release(pivots)
         if more.isEmpty():
             # nothing new: the components stay, and with them the buckets
             release(more)
@@ -156,9 +158,11 @@ def links(docs: DataFrame, marked: DataFrame, uniq: DataFrame, text_col: str, ro
 
 def _apart(rest: DataFrame, roots: DataFrame) -> DataFrame:
     """The entries of the buckets whose sets are of several components, with these."""
-    rest = rest.drop("root").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    several = rest.groupBy("token").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u <> v").select("token")
-    return cut(rest.join(several, "token", "left_semi"))
+    rest = rest.drop("root").join(_sent(roots), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    several = cut(rest.groupBy("token").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u <> v").select("token"))
+    out = cut(rest.join(_sent(several), "token", "left_semi"))
+    release(several)
+    return out
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), rounds: int = ROUNDS) -> DataFrame:
@@ -180,10 +184,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fields = [T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
     made = cut(append(held.withColumn("__h", F.xxhash64(text_col)), compute, fields, () if text_col in keep else (text_col,)))
     marked = cut(made.drop("n", "fp", "prefix"))
-    uniq = cut(made.groupBy("sid").agg(F.min(id_col).alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
+    uniq = cut(made.groupBy("sid").agg(F.min(id_col).alias("rep"), F.min("__h").alias("h"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
     release(made)
-    reps = cut(uniq.select("sid", "rep"))
-    roots = links(docs, marked, uniq, text_col, rounds)
+    reps = cut(uniq.select("sid", "rep", "h"))
+    roots = links(docs, reps, uniq, text_col, rounds)
     grouped = reps.join(roots, "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     linked = grouped.join(roots.select("root").distinct(), "root", "left_semi")
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
