@@ -11,9 +11,9 @@ common in a sample of the texts last; it decides the work only, never the result
 
 Work: equal sets are merged first. A bucket (the sets with a shingle in their prefix) is
 linked to one of its members, which makes at most a pair for each entry. Buckets whose
-members are then still of several components go on with other members, and in the end
-with all pairs across components. Sizes and places in the prefix are checked before, and
-whole sets after, so that each link is exact.
+members are then still of several components go on with other members, and, once few are
+left to compare, with all pairs across components. Sizes, places in the prefix and a lower bound of the
+difference, by sketches of each set's parities, are checked before, and whole sets after, so that each link is exact.
 
 Edge cases: null and empty texts, and texts without words, are one empty set; texts with
 fewer words than a shingle are one shingle; the group's id is its smallest non-null one.
@@ -41,6 +41,10 @@ SAMPLE, COMMON = 20_000, 400_000
 SENT = 500_000
 #: Rounds with one member of each bucket before all pairs are compared.
 ROUNDS = 6
+#: Pairs across components for each entry, at which all of them are compared before that.
+PAIRS = 256
+#: Longs of a set's parity sketch.
+SKETCH = 4
 
 
 def shingle_set(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
@@ -49,6 +53,15 @@ def shingle_set(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(x, SEED) for x in shingles(text, k)], "<u8"))
 
 
+def parity_of(found: np.ndarray) -> np.ndarray:
+    """Of each value of the hashes' low bits, whether an odd number of them has it, as bits of SKETCH longs.
+
+    The sketches of two sets differ in at most as many bits as the sets have elements that are not common.
+    """
+    odd = np.bincount((found & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def prefix_of(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The part of a set that a similar one must meet; `common` is ascending, rank its counts."""
     n = found.size
@@ -85,8 +98,9 @@ def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SENT else df
 
 
-#: Whether entries a and b of a bucket may be similar, by sizes and by what follows in both.
+#: Whether entries a and b of a bucket may be similar, by sizes, by what follows in both, and by sketches.
 MAY = "5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) and 9 * least(a.n - a.pos, b.n - b.pos) >= 4 * (a.n + b.n)"
+MAY += " and 9 * (" + " + ".join(f"bit_count(a.odd[{i}] ^ b.odd[{i}])" for i in range(SKETCH)) + ") <= a.n + b.n"
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text_col: str) -> DataFrame:
@@ -122,24 +136,29 @@ def links(docs: DataFrame, reps: DataFrame, uniq: DataFrame, text_col: str, roun
     """(sid, root) of the sets that are linked: the components at the threshold. Releases uniq."""
     edges = _similar(_candidates(uniq), docs, reps, text_col)
     roots = _roots(edges)
-    keyed = uniq.select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
+    keyed = uniq.select("sid", "n", "odd", F.posexplode("prefix").alias("pos", "token"))
     tokens = cut(keyed.groupBy("token").count().where("count > 1").select("token"))
     rest, turn = _apart(keyed.join(_sent(tokens), "token"), roots), 0
     release(uniq, tokens)
     while not rest.isEmpty():
-        size = rest.groupBy("token").count().agg(F.sum(F.expr("count * (count - 1) / 2")), F.sum("count")).first()
-        last, pivots = turn >= rounds or size[0] <= 4 * size[1], None
+        # of each bucket its entries, and the component with the most of them
+        shape = rest.groupBy("token", "root").count().groupBy("token").agg(F.sum("count").alias("c"), F.max(F.struct("count", "root")).alias("m"))
+        shape = cut(shape.select("token", "c", F.col("m.count").alias("k"), F.col("m.root").alias("main")))
+        size = shape.agg(F.sum(F.expr("(c - k) * c")), F.sum("c")).first()
+        last, pivots = turn >= rounds or size[0] <= PAIRS * size[1], None
         if last:
-            a, b = rest.alias("a"), rest.alias("b")
-            other = "a.sid < b.sid and a.root <> b.root"
+            # pairs within a bucket's main component are never looked at
+            held = rest.join(_sent(shape.select("token", "main")), "token")
+            a, b = held.where("root <> main").alias("a"), held.alias("b")
+            other = "(b.root = b.main or a.sid < b.sid) and a.root <> b.root"
         else:
-            first = F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "n", "pos", "root")).alias("p")
-            pivots = cut(rest.groupBy("token").agg(first).select("token", "p.sid", "p.n", "p.pos", "p.root"))
+            first = F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "n", "odd", "pos", "root")).alias("p")
+            pivots = cut(rest.groupBy("token").agg(first).select("token", "p.sid", "p.n", "p.odd", "p.pos", "p.root"))
             a, b = _sent(pivots).alias("a"), rest.alias("b")
             other = "a.sid <> b.sid and a.root <> b.root"
         pairs = a.join(b, F.expr(f"a.token = b.token and {other} and {MAY}")).select(F.col("a.sid").alias("src"), F.col("b.sid").alias("dst"))
         more, turn = _similar(pairs, docs, reps, text_col), turn + 1
-        release(pivots)
+        release(pivots, shape)
         if more.isEmpty():
             # nothing new: the components stay, and with them the buckets
             release(more)
@@ -172,19 +191,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, text_col))
 
     def compute(batch: pa.RecordBatch) -> list:
-        sid, n, fp, prefix = [], [], [], []
+        sid, n, fp, odd, prefix = [], [], [], [], []
         for text in utf8(batch, text_col):
             found = shingle_set(text)
             sid.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63) if found.size else 0)
             n.append(found.size)
             fp.append(majority(found))
+            odd.append(parity_of(found))
             prefix.append(prefix_of(found, *common.value).view("<i8"))
-        return [pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
+        return [pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))]
 
-    fields = [T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("odd", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))]
     made = cut(append(held.withColumn("__h", F.xxhash64(text_col)), compute, fields, () if text_col in keep else (text_col,)))
-    marked = cut(made.drop("n", "fp", "prefix"))
-    uniq = cut(made.groupBy("sid").agg(F.min(id_col).alias("rep"), F.min("__h").alias("h"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")))
+    marked = cut(made.drop("n", "fp", "odd", "prefix"))
+    uniq = cut(made.groupBy("sid").agg(F.min(id_col).alias("rep"), F.min("__h").alias("h"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("odd").alias("odd"), F.first("prefix").alias("prefix")))
     release(made)
     reps = cut(uniq.select("sid", "rep", "h"))
     roots = links(docs, reps, uniq, text_col, rounds)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as C
@@ -51,6 +52,15 @@ def test_near_copies_against_brute_force(spark, rounds):
     assert got == slow_least(rows) and len(set(got.values())) < len(rows)
 
 
+def test_sketches_never_differ_by_more_than_the_sets():
+    rng = random.Random(3)
+    for n in (0, 1, 50, 3000):
+        a = {rng.randrange(1 << 64) for _ in range(n)}
+        b = {x for x in a if rng.random() < 0.9} | {rng.randrange(1 << 64) for _ in range(n // 9)}
+        x, y = (N.parity_of(np.array(sorted(s), "<u8")) for s in (a, b))
+        assert x.size == N.SKETCH and int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= len(a ^ b)
+
+
 def test_stage_drops_copies_of_ordinary_edit_size(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id in (1, 177)")
     want = slow_least([(r["doc_id"], r["text"]) for r in docs.collect()])
