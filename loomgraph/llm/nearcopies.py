@@ -39,8 +39,8 @@ SHINGLE = 5
 SAMPLE, COMMON = 20_000, 400_000
 #: Keys that are sent to all tasks instead of shuffling the other side.
 SENT = 500_000
-#: Rounds with one member of each bucket before all pairs are compared.
-ROUNDS = 6
+#: Rounds with one member of each bucket before all pairs are compared: at least, if the buckets are large, and at most.
+EARLY, ROUNDS = 3, 6
 #: Pairs across components for each entry, at which all of them are compared before that.
 PAIRS = 256
 #: Longs of a set's parity sketch.
@@ -145,14 +145,15 @@ def links(docs: DataFrame, reps: DataFrame, uniq: DataFrame, text_col: str, roun
         shape = rest.groupBy("token", "root").count().groupBy("token").agg(F.sum("count").alias("c"), F.max(F.struct("count", "root")).alias("m"))
         shape = cut(shape.select("token", "c", F.col("m.count").alias("k"), F.col("m.root").alias("main")))
         size = shape.agg(F.sum(F.expr("(c - k) * c")), F.sum("c")).first()
-        last, pivots = turn >= rounds or size[0] <= PAIRS * size[1], None
+        last, pivots = turn >= rounds or size[0] <= (PAIRS if turn >= EARLY else 4) * size[1], None
         if last:
             # pairs within a bucket's main component are never looked at
             held = rest.join(_sent(shape.select("token", "main")), "token")
             a, b = held.where("root <> main").alias("a"), held.alias("b")
             other = "(b.root = b.main or a.sid < b.sid) and a.root <> b.root"
         else:
-            first = F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "n", "odd", "pos", "root")).alias("p")
+            # another member for each bucket, so that sets that share many buckets meet many members
+            first = F.min(F.struct(F.xxhash64("sid", "token", F.lit(turn)).alias("h"), "sid", "n", "odd", "pos", "root")).alias("p")
             pivots = cut(rest.groupBy("token").agg(first).select("token", "p.sid", "p.n", "p.odd", "p.pos", "p.root"))
             a, b = _sent(pivots).alias("a"), rest.alias("b")
             other = "a.sid <> b.sid and a.root <> b.root"
