@@ -1,10 +1,12 @@
 """No result is cut short: loops that run out of steps say so, and large components are merged like small ones."""
 
+import random
+
 import numpy as np
 import pytest
 
 from loomgraph.graph import Graph
-from loomgraph.operators import communities
+from loomgraph.operators import communities, kernels
 from loomgraph.operators.components import connected_components
 from loomgraph.plans import gas
 from loomgraph.runtime import cut, cut_flat, ensure_checkpoint_dir, release
@@ -66,3 +68,26 @@ def test_components_by_tasks_and_by_rounds_are_the_same(spark):
     assert connected_components(edges.limit(0)).count() == 0
     # other types go by the rounds alone
     assert connected_components(edges.selectExpr("cast(src as int) src", "cast(dst as int) dst")).count() == len(want)
+
+
+def _triangle_fixture(spark):
+    """A graph with hubs, negative ids and the triangles of each tile (3 by 2), by hand."""
+    rng = random.Random(5)
+    pairs = ((rng.randrange(60) ** 2 // 40 - 20, rng.randrange(90) - 20) for _ in range(900))
+    edges = {(min(a, b), max(a, b)) for a, b in pairs if a != b}
+    near: dict[int, set[int]] = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want: dict[int, int] = {}
+    for a, b in edges:
+        for c in (c for c in near[a] & near[b] if c > b):
+            u, *rest = sorted((a, b, c), key=lambda v: (len(near[v]), v))
+            tile = u % 3 * 2 + min(rest) % 2
+            want[tile] = want.get(tile, 0) + 1
+    return Graph.from_edges(spark.createDataFrame(list(edges), "src long, dst long"), directed=False), want
+
+
+def test_triangles_in_turns_over_ranges(spark):
+    g, want = _triangle_fixture(spark)
+    assert kernels.triangles(g, block=30).first()["total"] == sum(want.values()) > 1000
