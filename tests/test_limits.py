@@ -91,3 +91,8 @@ def _triangle_fixture(spark):
 def test_triangles_in_turns_over_ranges(spark):
     g, want = _triangle_fixture(spark)
     assert kernels.triangles(g, block=30).first()["total"] == sum(want.values()) > 1000
+
+
+def test_tiles_in_turns_over_ranges(spark):
+    g, want = _triangle_fixture(spark)
+    assert {r["tile"]: r["triangles"] for r in kernels.triangles_by_tile(g, 3, 2, block=30).collect()} == want
