@@ -1,6 +1,7 @@
 """No result is cut short: loops that run out of steps say so, and large components are merged like small ones."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -111,3 +112,15 @@ def test_extended_features_by_hand(spark):
     row = features.extended(g).first()
     assert row["mean_reuse"] == pytest.approx(sum(gaps) / len(gaps)) and row["forward_share"] == 0.5
     assert row["clustering"] == pytest.approx(3 * 2 / 10)  # triangles 1-2-3 and 1-3-9; wedges 3 + 1 + 3 + 0 + 3
+
+
+def test_one_large_clique_merges_in_little_memory():
+    n = 1500
+    dst = np.tile(np.arange(n, dtype=np.int32), n)[~np.eye(n, dtype=bool).ravel()]
+    weight = np.ones(dst.size)
+    tracemalloc.start()
+    v, r = communities._merged(np.arange(n), np.full(n, n - 1), dst, weight, float(dst.size))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(v.tolist()) == list(range(n)) and len(set(r.tolist())) == 1
+    assert most < 40 * dst.size  # tables of Python numbers took some 100 bytes an edge
