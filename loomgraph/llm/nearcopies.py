@@ -21,6 +21,8 @@ fewer words than a shingle are one shingle; the group's id is its smallest non-n
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -43,6 +45,8 @@ SENT = 500_000
 EARLY, ROUNDS = 3, 6
 #: Pairs across components for each entry, at which all of them are compared before that.
 PAIRS = 256
+#: Of all shingles, a SHARE-th is about what a part of the pairs moves to be verified; pairs that are not worth parts.
+SHARE, FEW = 8, 1000
 #: Longs of a set's parity sketch.
 SKETCH = 4
 
@@ -103,19 +107,42 @@ MAY = "5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) and 9 * least(a.n - a.pos,
 MAY += " and 9 * (" + " + ".join(f"bit_count(a.odd[{i}] ^ b.odd[{i}])" for i in range(SKETCH)) + ") <= a.n + b.n"
 
 
+def _batches(pairs: DataFrame, reps: DataFrame) -> int:
+    """Parts of the pairs: in each, about a SHARE of all sets' shingles is moved, and its ends can be sent to all tasks."""
+    n = pairs.count()
+    if n <= FEW:
+        return 1
+    at = reps.select("sid", "n")
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("sid")).groupBy("sid").count()
+    moved = ends.join(at, "sid").agg(F.sum(F.col("count") * F.col("n"))).first()[0] or 0
+    whole = max(1, at.agg(F.sum("n")).first()[0] or 0)
+    return max(1, -(-moved * SHARE // whole), min(SHARE, -(-2 * n // SENT)))
+
+
 def _similar(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text_col: str) -> DataFrame:
-    """Of the pairs (src, dst) of sets those that are similar, by their whole sets."""
+    """Of the pairs (src, dst) of sets those that are similar, by their whole sets.
+
+    Whole sets are large beside the documents, so pairs go in parts, and what a part
+    wrote is deleted before the next; the sets of src are moved once, not with each pair.
+    """
     pairs = cut(pairs.distinct())
     if pairs.isEmpty():
         return pairs
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("sid"), "src", "dst")
-    texts = cut(reps.join(_sent(ends.select("sid")), "sid", "left_semi").select("sid", "h"))
-    # one text of each set: texts are compared by the hash by which keep_one() tells them apart
-    held = docs.select(text_col, F.xxhash64(text_col).alias("h")).join(_sent(texts.select("h")), "h", "left_semi").dropDuplicates(["h"])
-    sets = _sets(held, text_col, "s").join(_sent(texts), "h").select("sid", "s")
-    both = sets.join(_sent(ends), "sid").groupBy("src", "dst").agg(F.collect_list("s").alias("s"))
-    out = cut(both.where("9 * size(array_intersect(s[0], s[1])) >= 4 * (size(s[0]) + size(s[1]))").select("src", "dst"))
-    release(pairs, texts)
+    parts = _batches(pairs, reps)
+    found = []
+    for i in range(parts):
+        part = pairs.where(F.pmod(F.xxhash64("dst"), F.lit(parts)) == i) if parts > 1 else pairs
+        ends = part.select(F.explode(F.array("src", "dst")).alias("sid")).distinct()
+        texts = cut(reps.join(_sent(ends), "sid", "left_semi").select("sid", "h"))
+        # one text of each set: texts are compared by the hash by which keep_one() tells them apart
+        held = docs.select(text_col, F.xxhash64(text_col).alias("h")).join(_sent(texts.select("h")), "h", "left_semi").dropDuplicates(["h"])
+        sets = cut(_sets(held, text_col, "s").join(_sent(texts), "h").select("sid", "s"))
+        first = sets.join(_sent(part.select(F.col("src").alias("sid")).distinct()), "sid", "left_semi").select(F.col("sid").alias("src"), F.col("s").alias("t"))
+        both = sets.join(_sent(part.withColumnRenamed("dst", "sid")), "sid").join(first, "src")
+        found.append(cut(both.where("9 * size(array_intersect(s, t)) >= 4 * (size(s) + size(t))").select("src", F.col("sid").alias("dst"))))
+        release(texts, sets)
+    out = found[0] if parts == 1 else cut(reduce(DataFrame.unionByName, found))
+    release(pairs, *(found if parts > 1 else []))
     return out
 
 
@@ -136,10 +163,13 @@ def links(docs: DataFrame, reps: DataFrame, uniq: DataFrame, text_col: str, roun
     """(sid, root) of the sets that are linked: the components at the threshold. Releases uniq."""
     edges = _similar(_candidates(uniq), docs, reps, text_col)
     roots = _roots(edges)
-    keyed = uniq.select("sid", "n", "odd", F.posexplode("prefix").alias("pos", "token"))
+    keyed = uniq.select("sid", F.posexplode("prefix").alias("pos", "token"))
     tokens = cut(keyed.groupBy("token").count().where("count > 1").select("token"))
-    rest, turn = _apart(keyed.join(_sent(tokens), "token"), roots), 0
-    release(uniq, tokens)
+    # most shingles are of one set: sizes and sketches come to what is left
+    met = cut(keyed.join(_sent(tokens), "token"))
+    some = _apart(met, roots)
+    rest, turn = cut(some.join(uniq.select("sid", "n", "odd"), "sid")), 0
+    release(uniq, tokens, met, some)
     while not rest.isEmpty():
         # of each bucket its entries, and the component with the most of them
         shape = rest.groupBy("token", "root").count().groupBy("token").agg(F.sum("count").alias("c"), F.max(F.struct("count", "root")).alias("m"))
@@ -207,7 +237,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = cut(made.drop("n", "fp", "odd", "prefix"))
     uniq = cut(made.groupBy("sid").agg(F.min(id_col).alias("rep"), F.min("__h").alias("h"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("odd").alias("odd"), F.first("prefix").alias("prefix")))
     release(made)
-    reps = cut(uniq.select("sid", "rep", "h"))
+    reps = cut(uniq.select("sid", "rep", "h", "n"))
     roots = links(docs, reps, uniq, text_col, rounds)
     grouped = reps.join(roots, "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     linked = grouped.join(roots.select("root").distinct(), "root", "left_semi")
