@@ -98,8 +98,9 @@ def _common(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     return found[order], n[order]
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SENT else df
+def _sent(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df, to be sent to all tasks if it is small. most: what it has at most, if known, so that small ones need no count."""
+    return F.broadcast(df) if most is not None and most <= SENT or df.count() <= SENT else df
 
 
 #: Whether entries a and b of a bucket may be similar, by sizes, by what follows in both, and by sketches.
@@ -107,16 +108,13 @@ MAY = "5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) and 9 * least(a.n - a.pos,
 MAY += " and 9 * (" + " + ".join(f"bit_count(a.odd[{i}] ^ b.odd[{i}])" for i in range(SKETCH)) + ") <= a.n + b.n"
 
 
-def _batches(pairs: DataFrame, reps: DataFrame) -> int:
-    """Parts of the pairs: in each, about a SHARE of all sets' shingles is moved, and its ends can be sent to all tasks."""
-    n = pairs.count()
+def _batches(n: int, pairs: DataFrame, reps: DataFrame) -> int:
+    """Parts of the n pairs: in each, about a SHARE of all sets' shingles is moved, and its ends can be sent to all tasks."""
     if n <= FEW:
         return 1
-    at = reps.select("sid", "n")
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("sid")).groupBy("sid").count()
-    moved = ends.join(at, "sid").agg(F.sum(F.col("count") * F.col("n"))).first()[0] or 0
-    whole = max(1, at.agg(F.sum("n")).first()[0] or 0)
-    return max(1, -(-moved * SHARE // whole), min(SHARE, -(-2 * n // SENT)))
+    moved, whole = reps.select("sid", "n").join(_sent(ends, 2 * n), "sid", "left").agg(F.sum(F.col("count") * F.col("n")), F.sum("n")).first()
+    return max(1, -(-(moved or 0) * SHARE // max(1, whole or 0)), min(SHARE, -(-2 * n // SENT)))
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text_col: str) -> DataFrame:
@@ -124,25 +122,30 @@ def _similar(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text_col: str)
 
     Whole sets are large beside the documents, so pairs go in parts, and what a part
     wrote is deleted before the next; the sets of src are moved once, not with each pair.
+    A part is two queries: the driver keeps the plans of the last thousand, so that
+    its memory grows with their number.
     """
     pairs = cut(pairs.distinct())
-    if pairs.isEmpty():
+    n = pairs.count()
+    if not n:
         return pairs
-    parts = _batches(pairs, reps)
+    parts = _batches(n, pairs, reps)
+    each = F.pmod(F.xxhash64("dst"), F.lit(parts))
+    sizes = {0: n} if parts == 1 else {r["i"]: r["count"] for r in pairs.groupBy(each.alias("i")).count().collect()}
     found = []
-    for i in range(parts):
-        part = pairs.where(F.pmod(F.xxhash64("dst"), F.lit(parts)) == i) if parts > 1 else pairs
+    for i, size in sorted(sizes.items()):
+        part = pairs.where(each == i) if parts > 1 else pairs
         ends = part.select(F.explode(F.array("src", "dst")).alias("sid")).distinct()
-        texts = cut(reps.join(_sent(ends), "sid", "left_semi").select("sid", "h"))
+        texts = reps.join(_sent(ends, 2 * size), "sid", "left_semi").select("sid", "h")
         # one text of each set: texts are compared by the hash by which keep_one() tells them apart
-        held = docs.select(text_col, F.xxhash64(text_col).alias("h")).join(_sent(texts.select("h")), "h", "left_semi").dropDuplicates(["h"])
-        sets = cut(_sets(held, text_col, "s").join(_sent(texts), "h").select("sid", "s"))
-        first = sets.join(_sent(part.select(F.col("src").alias("sid")).distinct()), "sid", "left_semi").select(F.col("sid").alias("src"), F.col("s").alias("t"))
-        both = sets.join(_sent(part.withColumnRenamed("dst", "sid")), "sid").join(first, "src")
+        held = docs.select(text_col, F.xxhash64(text_col).alias("h")).join(_sent(texts, 2 * size), "h").dropDuplicates(["h", "sid"])
+        sets = cut(_sets(held, text_col, "s").select("sid", "s"))
+        first = sets.join(_sent(part.select(F.col("src").alias("sid")).distinct(), size), "sid", "left_semi").select(F.col("sid").alias("src"), F.col("s").alias("t"))
+        both = sets.join(_sent(part.withColumnRenamed("dst", "sid"), size), "sid").join(first, "src")
         found.append(cut(both.where("9 * size(array_intersect(s, t)) >= 4 * (size(s) + size(t))").select("src", F.col("sid").alias("dst"))))
-        release(texts, sets)
-    out = found[0] if parts == 1 else cut(reduce(DataFrame.unionByName, found))
-    release(pairs, *(found if parts > 1 else []))
+        release(sets)
+    out = found[0] if len(found) == 1 else cut(reduce(DataFrame.unionByName, found))
+    release(pairs, *(found if len(found) > 1 else []))
     return out
 
 

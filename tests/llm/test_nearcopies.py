@@ -66,3 +66,31 @@ def test_stage_drops_copies_of_ordinary_edit_size(spark, sf):
     want = slow_least([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert set(want.values()) == {1}  # similarity 0.83, but 9 bits of the fingerprints differ
     assert [r["doc_id"] for r in C.drop_near_copies(spark, docs, sf).collect()] == [1]
+
+
+def test_a_part_is_verified_by_two_queries(spark, monkeypatch):
+    """The driver keeps what the last thousand queries were, so their number is part of its memory."""
+
+    def ran():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+        return spark._jsparkSession.sharedState().statusStore().executionsList().last().executionId()
+
+    rows, seen, parts, similar, batches = edited(), [], [], N._similar, N._batches
+
+    def counted(*args):
+        parts.append(batches(*args))
+        return parts[-1]
+
+    def watched(*args):
+        at, held = ran(), len(parts)
+        out = similar(*args)
+        if parts[held:] and parts[-1] > 4:
+            seen.append((ran() - at, parts[-1]))
+        return out
+
+    monkeypatch.setattr(N, "FEW", 0)
+    monkeypatch.setattr(N, "_batches", counted)
+    monkeypatch.setattr(N, "_similar", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in N.near_copies(docs).collect()} == slow_least(rows)
+    assert seen and all(queries <= 2 * n + 6 for queries, n in seen)

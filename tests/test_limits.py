@@ -6,6 +6,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
+from loomgraph import runtime
 from loomgraph.functions import features
 from loomgraph.graph import Graph
 from loomgraph.operators import communities, kernels
@@ -124,3 +125,12 @@ def test_one_large_clique_merges_in_little_memory():
     tracemalloc.stop()
     assert sorted(v.tolist()) == list(range(n)) and len(set(r.tolist())) == 1
     assert most < 40 * dst.size  # tables of Python numbers took some 100 bytes an edge
+
+
+def test_release_gives_freed_native_memory_back(spark, monkeypatch):
+    assert runtime.trim(spark.sparkContext)
+    asked = []
+    monkeypatch.setattr(runtime, "trim", asked.append)
+    monkeypatch.setattr(runtime, "_swept", -runtime.SWEEP)
+    release(cut_flat(spark.range(3)), cut_flat(spark.range(3)))
+    assert asked == [spark.sparkContext]  # once a sweep
