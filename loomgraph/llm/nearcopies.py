@@ -9,11 +9,13 @@ Prefixes: under any one global order of the shingles, two sets of that similarit
 one of the first n - ceil(0.8 n) + 1 shingles of both. The order puts shingles that are
 common in a sample of the texts last; it decides the work only, never the result.
 
-Work: equal sets are merged first. A bucket (the sets with a shingle in their prefix) is
-linked to one of its members, which makes at most a pair for each entry. Buckets whose
-members are then still of several components go on with other members, and, once few are
-left to compare, with all pairs across components. Sizes, places in the prefix and a lower bound of the
-difference, by sketches of each set's parities, are checked before, and whole sets after, so that each link is exact.
+Work: equal sets are merged first. A bucket (the sets with a shingle in their prefix) of two is a pair,
+as most are. Larger ones are compared with one of their members, which makes at most a pair for each entry,
+and then go on without it, as long as they are of several components; once few are left to compare, with all
+pairs across components. Sizes, places in the prefix and a lower bound of the difference, by sketches of each
+set's parities, are checked before, and whole sets after, so that each link is exact. A sketch of 256 bits goes
+with each entry; distinct pairs then meet sketches of as many bits as a set has elements, so that about those
+that are similar are left to be verified, however large the sets.
 
 Edge cases: null and empty texts, and texts without words, are one empty set; texts with
 fewer words than a shingle are one shingle; the group's id is its smallest non-null one.
@@ -47,7 +49,7 @@ EARLY, ROUNDS = 3, 6
 PAIRS = 256
 #: Of all shingles, a SHARE-th is about what a part of the pairs moves to be verified; pairs that are not worth parts.
 SHARE, FEW = 8, 1000
-#: Longs of a set's parity sketch.
+#: Longs of the parity sketch of an entry, and the least of a set's own.
 SKETCH = 4
 
 
@@ -57,15 +59,21 @@ def shingle_set(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(x, SEED) for x in shingles(text, k)], "<u8"))
 
 
-def parity_of(found: np.ndarray) -> np.ndarray:
-    """Of each value of the hashes' low bits, whether an odd number of them has it, as bits of SKETCH longs.
+def parity_of(found: np.ndarray, longs: int = SKETCH) -> np.ndarray:
+    """Of each value of the hashes' low bits, whether an odd number of them has it, as bits of so many longs (a power of two).
 
     The sketches of two sets differ in at most as many bits as the sets have elements that are not common.
+    The halves of a sketch, by exclusive or, are the sketch of half the longs.
     """
-    odd = np.bincount((found & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    odd = np.bincount((found & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def wide_of(found: np.ndarray) -> np.ndarray:
+    """The sketch of as many bits as the set has elements, up to the next power of two."""
+    return parity_of(found, max(SKETCH, 1 << (max(0, found.size - 1) >> 6).bit_length()))
+
+
 def prefix_of(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The part of a set that a similar one must meet; `common` is ascending, rank its counts."""
     n = found.size
@@ -108,6 +116,19 @@ MAY = "5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) and 9 * least(a.n - a.pos,
 MAY += " and 9 * (" + " + ".join(f"bit_count(a.odd[{i}] ^ b.odd[{i}])" for i in range(SKETCH)) + ") <= a.n + b.n"
 
 
+#: Whether sets a and b may be similar, by sizes and their own sketches; of similar sizes one is twice as long at most, and is folded.
+WIDE = "5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) and 9 * aggregate(sequence(0, least(size(a.w), size(b.w)) - 1), 0, (d, i) -> d + bit_count(get(a.w, i) ^ get(b.w, i)"
+WIDE += " ^ if(size(a.w) > size(b.w), get(a.w, i + size(b.w)), 0L) ^ if(size(b.w) > size(a.w), get(b.w, i + size(a.w)), 0L))) <= a.n + b.n"
+
+
+def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The distinct pairs (src, dst) of sets that may be similar by WIDE."""
+    own = reps.select("sid", "n", "w")
+    met = pairs.distinct().join(own.alias("a"), F.expr("src = a.sid")).select("src", "dst", F.struct("n", "w").alias("a"))
+    met = met.join(own.select("sid", F.struct("n", "w").alias("b")), F.expr("dst = sid"))
+    return met.where(WIDE).select("src", "dst")
+
+
 def _batches(n: int, pairs: DataFrame, reps: DataFrame) -> int:
     """Parts of the n pairs: in each, about a SHARE of all sets' shingles is moved, and its ends can be sent to all tasks."""
     if n <= FEW:
@@ -118,14 +139,14 @@ def _batches(n: int, pairs: DataFrame, reps: DataFrame) -> int:
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text_col: str) -> DataFrame:
-    """Of the pairs (src, dst) of sets those that are similar, by their whole sets.
+    """Of the pairs (src, dst) of sets those that are similar: those that pass WIDE, by their whole sets.
 
     Whole sets are large beside the documents, so pairs go in parts, and what a part
     wrote is deleted before the next; the sets of src are moved once, not with each pair.
     A part is two queries: the driver keeps the plans of the last thousand, so that
     its memory grows with their number.
     """
-    pairs = cut(pairs.distinct())
+    pairs = cut(_near(pairs, reps))
     n = pairs.count()
     if not n:
         return pairs
@@ -164,12 +185,14 @@ def _roots(edges: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, reps: DataFrame, uniq: DataFrame, text_col: str, rounds: int = ROUNDS) -> DataFrame:
     """(sid, root) of the sets that are linked: the components at the threshold. Releases uniq."""
-    edges = _similar(_candidates(uniq), docs, reps, text_col)
-    roots = _roots(edges)
     keyed = uniq.select("sid", F.posexplode("prefix").alias("pos", "token"))
-    tokens = cut(keyed.groupBy("token").count().where("count > 1").select("token"))
-    # most shingles are of one set: sizes and sketches come to what is left
-    met = cut(keyed.join(_sent(tokens), "token"))
+    # most shingles are of one set, and most others of two
+    tokens = cut(keyed.groupBy("token").agg(F.count("*").alias("c"), F.min("sid").alias("src"), F.max("sid").alias("dst")).where("c > 1"))
+    two = tokens.where("c = 2").select("src", "dst").unionByName(_candidates(uniq).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")))
+    edges = _similar(two, docs, reps, text_col)
+    roots = _roots(edges)
+    # sizes and sketches come to what is left
+    met = cut(keyed.join(_sent(tokens.where("c > 2").select("token")), "token"))
     some = _apart(met, roots)
     rest, turn = cut(some.join(uniq.select("sid", "n", "odd"), "sid")), 0
     release(uniq, tokens, met, some)
@@ -185,24 +208,26 @@ def links(docs: DataFrame, reps: DataFrame, uniq: DataFrame, text_col: str, roun
             a, b = held.where("root <> main").alias("a"), held.alias("b")
             other = "(b.root = b.main or a.sid < b.sid) and a.root <> b.root"
         else:
-            # another member for each bucket, so that sets that share many buckets meet many members
-            first = F.min(F.struct(F.xxhash64("sid", "token", F.lit(turn)).alias("h"), "sid", "n", "odd", "pos", "root")).alias("p")
+            # a member of its own for each bucket, so that sets that share many buckets meet many members
+            first = F.min(F.struct(F.xxhash64("sid", "token").alias("h"), "sid", "n", "odd", "pos", "root")).alias("p")
             pivots = cut(rest.groupBy("token").agg(first).select("token", "p.sid", "p.n", "p.odd", "p.pos", "p.root"))
             a, b = _sent(pivots).alias("a"), rest.alias("b")
             other = "a.sid <> b.sid and a.root <> b.root"
         pairs = a.join(b, F.expr(f"a.token = b.token and {other} and {MAY}")).select(F.col("a.sid").alias("src"), F.col("b.sid").alias("dst"))
         more, turn = _similar(pairs, docs, reps, text_col), turn + 1
-        release(pivots, shape)
         if more.isEmpty():
-            # nothing new: the components stay, and with them the buckets
+            # nothing new: the components stay
             release(more)
         else:
             edges, old = cut(edges.unionByName(more)), (edges, more, roots)
             roots = _roots(edges)
             release(*old)
-            if not last:
-                rest, old = _apart(rest, roots), rest
-                release(old)
+        if not last:
+            # the member has met its whole bucket
+            left = rest.join(_sent(pivots.select("token", "sid")), ["token", "sid"], "left_anti")
+            rest, old = _apart(left, roots), rest
+            release(old)
+        release(pivots, shape)
         if last:
             break
     release(edges, rest)
@@ -225,22 +250,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, text_col))
 
     def compute(batch: pa.RecordBatch) -> list:
-        sid, n, fp, odd, prefix = [], [], [], [], []
+        sid, n, fp, odd, wide, prefix = [], [], [], [], [], []
         for text in utf8(batch, text_col):
             found = shingle_set(text)
             sid.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63) if found.size else 0)
             n.append(found.size)
             fp.append(majority(found))
             odd.append(parity_of(found))
+            wide.append(wide_of(found))
             prefix.append(prefix_of(found, *common.value).view("<i8"))
-        return [pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))]
+        return [pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))]
 
-    fields = [T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("odd", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("odd", T.ArrayType(T.LongType())), T.StructField("w", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))]
     made = cut(append(held.withColumn("__h", F.xxhash64(text_col)), compute, fields, () if text_col in keep else (text_col,)))
-    marked = cut(made.drop("n", "fp", "odd", "prefix"))
-    uniq = cut(made.groupBy("sid").agg(F.min(id_col).alias("rep"), F.min("__h").alias("h"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("odd").alias("odd"), F.first("prefix").alias("prefix")))
+    marked = cut(made.drop("n", "fp", "odd", "w", "prefix"))
+    uniq = cut(made.groupBy("sid").agg(F.min(id_col).alias("rep"), F.min("__h").alias("h"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("odd").alias("odd"), F.first("w").alias("w"), F.first("prefix").alias("prefix")))
     release(made)
-    reps = cut(uniq.select("sid", "rep", "h", "n"))
+    reps = cut(uniq.select("sid", "rep", "h", "n", "w"))
     roots = links(docs, reps, uniq, text_col, rounds)
     grouped = reps.join(roots, "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     linked = grouped.join(roots.select("root").distinct(), "root", "left_semi")

@@ -94,3 +94,19 @@ def test_a_part_is_verified_by_two_queries(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in N.near_copies(docs).collect()} == slow_least(rows)
     assert seen and all(queries <= 2 * n + 6 for queries, n in seen)
+
+
+def test_wide_sketches_leave_similar_pairs_only(spark):
+    """Sets of over 600 shingles all passed the sketches of 256 bits."""
+    rng = random.Random(5)
+    sets = []
+    for n in (60, 700, 1500, 4000):
+        base = [rng.randrange(1 << 64) for _ in range(n)]
+        sets += [set(base[: int(n * keep)]) | {rng.randrange(1 << 64) for _ in range(new)} for keep, new in ((1, 0), (0.9, n // 20), (0.96, n // 9), (0.7, n // 3), (0, n))]
+    made = [np.array(sorted(s), "<u8") for s in sets]
+    reps = spark.createDataFrame([(i, x.size, N.wide_of(x).tolist()) for i, x in enumerate(made)], "sid long, n int, w array<long>")
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j]
+    got = {(r["src"], r["dst"]) for r in N._near(spark.createDataFrame(pairs, "src long, dst long"), reps).collect()}
+    like = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert {x for x in pairs if like(*x) >= 0.8} <= got and all(like(*x) > 0.6 for x in got)
+    assert any(N.wide_of(made[i]).size != N.wide_of(made[j]).size for i, j in got)
