@@ -15,17 +15,19 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import decontaminate, mixing, nearcopies, sharding, simhash, toxicity
 from loomgraph.llm.common import table
-from loomgraph.runtime import ensure_checkpoint_dir
+from loomgraph.runtime import ensure_checkpoint_dir, sweep
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
     model = toxicity.model_of(docs, table(spark, sf_dir, "labels"))
+    sweep(spark)
     return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document of the smallest id stays."""
+    sweep(spark)
     return simhash.keep_one(docs, find=nearcopies.near_copies)
 
 

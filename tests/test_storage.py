@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph import runtime
 from loomgraph.functions import scalar
 from loomgraph.graph import Graph
 from loomgraph.operators import cache, construct, partition
@@ -159,3 +160,14 @@ def test_dynamic_communities_over_a_stream(spark, tmp_path, screening):
     label = {r["id"]: r["community"] for r in state.labels().collect()}
     assert label[0] == label[5] and label[1] == label[2]
     assert state.graph().edges.count() == 2 * (6 + 10 + 5)
+
+
+def test_release_asks_the_executors_to_collect(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(runtime, "sweep", asked.append)
+    monkeypatch.setattr(runtime, "_swept", 0.0)
+    monkeypatch.setattr(runtime, "_far_swept", -1e9)
+    runtime.release(runtime.cut_flat(spark.range(3)))
+    assert asked
+    monkeypatch.undo()
+    assert runtime.sweep(spark) == 0  # here the executor is the driver, which has collected already
