@@ -14,8 +14,10 @@ as most are. Larger ones are compared with one of their members, which makes at
 and then go on without it, as long as they are of several components; once few are left to compare, with all
 pairs across components. Sizes, places in the prefix and a lower bound of the difference, by sketches of each
 set's parities, are checked before, and whole sets after, so that each link is exact. A sketch of 256 bits goes
-with each entry; distinct pairs then meet sketches of as many bits as a set has elements, so that about those
-that are similar are left to be verified, however large the sets.
+with each entry; distinct pairs then meet sketches of twice as many bits as a set has elements, so that about
+those that are similar are left to be verified, however large the sets. In a group of near copies those are still as
+many as the square of its size, so of all pairs across components a spanning forest is verified first, the likeliest pairs
+before others: as many as there are components at most. Then come those that are still across components, all of them.
 
 Edge cases: null and empty texts, and texts without words, are one empty set; texts with
 fewer words than a shingle are one shingle; the group's id is its smallest non-null one.
@@ -49,8 +51,10 @@ EARLY, ROUNDS = 3, 6
 PAIRS = 256
 #: Of all shingles, a SHARE-th is about what a part of the pairs moves to be verified; pairs that are not worth parts.
 SHARE, FEW = 8, 1000
-#: Longs of the parity sketch of an entry, and the least of a set's own.
-SKETCH = 4
+#: Longs of the parity sketch of an entry, and the least of a set's own; bits of the latter for each element.
+SKETCH, WIDTH = 4, 2
+#: Pairs of which a task takes a forest by itself, and forests before all pairs that are left.
+LOCAL, FORESTS = 250_000, 3
 
 
 def shingle_set(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
@@ -70,8 +74,8 @@ def parity_of(found: np.ndarray, longs: int = SKETCH) -> np.ndarray:
 
 
 def wide_of(found: np.ndarray) -> np.ndarray:
-    """The sketch of as many bits as the set has elements, up to the next power of two."""
-    return parity_of(found, max(SKETCH, 1 << (max(0, found.size - 1) >> 6).bit_length()))
+    """The sketch of WIDTH times as many bits as the set has elements, up to the next power of two."""
+    return parity_of(found, max(SKETCH, 1 << (max(0, WIDTH * found.size - 1) >> 6).bit_length()))
 
 
 def prefix_of(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -116,17 +120,57 @@ MAY = "5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) and 9 * least(a.n - a.pos,
 MAY += " and 9 * (" + " + ".join(f"bit_count(a.odd[{i}] ^ b.odd[{i}])" for i in range(SKETCH)) + ") <= a.n + b.n"
 
 
-#: Whether sets a and b may be similar, by sizes and their own sketches; of similar sizes one is twice as long at most, and is folded.
-WIDE = "5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) and 9 * aggregate(sequence(0, least(size(a.w), size(b.w)) - 1), 0, (d, i) -> d + bit_count(get(a.w, i) ^ get(b.w, i)"
-WIDE += " ^ if(size(a.w) > size(b.w), get(a.w, i + size(b.w)), 0L) ^ if(size(b.w) > size(a.w), get(b.w, i + size(a.w)), 0L))) <= a.n + b.n"
+#: A lower bound of the difference of sets a and b by their own sketches; of similar sizes one is twice as long at most, and is folded.
+APART = "aggregate(sequence(0, least(size(a.w), size(b.w)) - 1), 0, (d, i) -> d + bit_count(get(a.w, i) ^ get(b.w, i)"
+APART += " ^ if(size(a.w) > size(b.w), get(a.w, i + size(b.w)), 0L) ^ if(size(b.w) > size(a.w), get(b.w, i + size(a.w)), 0L)))"
+#: Whether sets a and b may be similar, by sizes and that bound.
+WIDE = f"5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) and 9 * {APART} <= a.n + b.n"
 
 
 def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The distinct pairs (src, dst) of sets that may be similar by WIDE."""
+    """The distinct pairs (src, dst) of sets that may be similar by WIDE; far: the bound, as a share of both sets. Other columns stay."""
     own = reps.select("sid", "n", "w")
-    met = pairs.distinct().join(own.alias("a"), F.expr("src = a.sid")).select("src", "dst", F.struct("n", "w").alias("a"))
+    met = pairs.distinct().join(own.alias("a"), F.expr("src = a.sid")).select(*pairs.columns, F.struct("n", "w").alias("a"))
     met = met.join(own.select("sid", F.struct("n", "w").alias("b")), F.expr("dst = sid"))
-    return met.where(WIDE).select("src", "dst")
+    return met.where(WIDE).select(*pairs.columns, F.expr(f"{APART} / (a.n + b.n)").alias("far"))
+
+
+def spanning(u: np.ndarray, v: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Places of the edges (u, v) of a spanning forest, those of least `far` first."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root, out = at[: u.size].tolist(), at[u.size :].tolist(), list(range(ids.size)), []
+    for i in np.argsort(far, kind="stable").tolist():
+        x, y = a[i], b[i]
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append(i)
+    return np.array(out, np.int64)
+
+
+def _forest(pairs: DataFrame, n: int) -> DataFrame:
+    """Of the n pairs (src, dst, u, v, far) of sets of components u and v those of a spanning forest of the components.
+
+    Tasks leave forests of LOCAL pairs each, which are put together until one task has all, or they no longer halve.
+    """
+
+    def run(batches):
+        if held := [b for b in batches if b.num_rows]:
+            found = pa.Table.from_batches(held)
+            yield from found.take(pa.array(spanning(*(found[c].to_numpy() for c in ("u", "v", "far"))))).combine_chunks().to_batches()
+
+    made = []
+    while True:
+        parts = max(1, -(-n // LOCAL))
+        out = cut((pairs.coalesce(1) if parts == 1 else pairs.repartition(parts)).mapInArrow(run, pairs.schema))
+        release(*made)
+        left = out.count() if parts > 1 else 0
+        if parts == 1 or 2 * left > n:
+            return out
+        pairs, n, made = out, left, [out]
 
 
 def _batches(n: int, pairs: DataFrame, reps: DataFrame) -> int:
@@ -138,15 +182,16 @@ def _batches(n: int, pairs: DataFrame, reps: DataFrame) -> int:
     return max(1, -(-(moved or 0) * SHARE // max(1, whole or 0)), min(SHARE, -(-2 * n // SENT)))
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text_col: str) -> DataFrame:
+def _similar(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text_col: str, near: bool = False) -> DataFrame:
     """Of the pairs (src, dst) of sets those that are similar: those that pass WIDE, by their whole sets.
+    near: they are a table of distinct ones that pass already, which stays.
 
     Whole sets are large beside the documents, so pairs go in parts, and what a part
     wrote is deleted before the next; the sets of src are moved once, not with each pair.
     A part is two queries: the driver keeps the plans of the last thousand, so that
     its memory grows with their number.
     """
-    pairs = cut(_near(pairs, reps))
+    pairs = pairs if near else cut(_near(pairs, reps).select("src", "dst"))
     n = pairs.count()
     if not n:
         return pairs
@@ -166,7 +211,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text_col: str)
         found.append(cut(both.where("9 * size(array_intersect(s, t)) >= 4 * (size(s) + size(t))").select("src", F.col("sid").alias("dst"))))
         release(sets)
     out = found[0] if len(found) == 1 else cut(reduce(DataFrame.unionByName, found))
-    release(pairs, *(found if len(found) > 1 else []))
+    release(None if near else pairs, *(found if len(found) > 1 else []))
     return out
 
 
@@ -183,6 +228,43 @@ def _roots(edges: DataFrame) -> DataFrame:
     return cut(connected_components(edges).select(F.col("id").alias("sid"), F.col("component").alias("root")))
 
 
+def _grown(edges: DataFrame, roots: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges with more, and the roots of both; if more is empty, what there was."""
+    if more.isEmpty():
+        release(more)
+        return edges, roots
+    out = cut(edges.unionByName(more))
+    new = _roots(out)
+    release(edges, more, roots)
+    return out, new
+
+
+def _across(near: DataFrame, forest: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs of near that are not in forest, and whose sets are still of several components, with these."""
+    of = lambda end: _sent(roots).select(F.col("sid").alias(end), F.col("root").alias(f"r_{end}"))
+    left = near.join(_sent(forest.select("src", "dst")), ["src", "dst"], "left_anti").join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    left = left.withColumns({"u": F.coalesce("r_src", "src"), "v": F.coalesce("r_dst", "dst")}).where("u <> v")
+    return cut(left.select(near.columns))
+
+
+def _joined(pairs: DataFrame, edges: DataFrame, roots: DataFrame, docs: DataFrame, reps: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """edges and roots with what the pairs (src, dst) of sets of components u and v add to the components: forests first, the rest after."""
+    near = cut(_near(pairs, reps))
+    for _ in range(FORESTS):
+        n, before = near.count(), roots
+        if n <= FEW:
+            break
+        forest = _forest(near, n)
+        edges, roots = _grown(edges, roots, _similar(forest, docs, reps, text_col, True))
+        near, old = _across(near, forest, roots), near
+        release(old, forest)
+        if roots is before:
+            break
+    edges, roots = _grown(edges, roots, _similar(near, docs, reps, text_col, True))
+    release(near)
+    return edges, roots
+
+
 def links(docs: DataFrame, reps: DataFrame, uniq: DataFrame, text_col: str, rounds: int = ROUNDS) -> DataFrame:
     """(sid, root) of the sets that are linked: the components at the threshold. Releases uniq."""
     keyed = uniq.select("sid", F.posexplode("prefix").alias("pos", "token"))
@@ -213,16 +295,12 @@ def links(docs: DataFrame, reps: DataFrame, uniq: DataFrame, text_col: str, roun
             pivots = cut(rest.groupBy("token").agg(first).select("token", "p.sid", "p.n", "p.odd", "p.pos", "p.root"))
             a, b = _sent(pivots).alias("a"), rest.alias("b")
             other = "a.sid <> b.sid and a.root <> b.root"
-        pairs = a.join(b, F.expr(f"a.token = b.token and {other} and {MAY}")).select(F.col("a.sid").alias("src"), F.col("b.sid").alias("dst"))
-        more, turn = _similar(pairs, docs, reps, text_col), turn + 1
-        if more.isEmpty():
-            # nothing new: the components stay
-            release(more)
+        pairs = a.join(b, F.expr(f"a.token = b.token and {other} and {MAY}"))
+        ends, turn = [F.col("a.sid").alias("src"), F.col("b.sid").alias("dst")], turn + 1
+        if last:
+            edges, roots = _joined(pairs.select(*ends, F.col("a.root").alias("u"), F.col("b.root").alias("v")), edges, roots, docs, reps, text_col)
         else:
-            edges, old = cut(edges.unionByName(more)), (edges, more, roots)
-            roots = _roots(edges)
-            release(*old)
-        if not last:
+            edges, roots = _grown(edges, roots, _similar(pairs.select(*ends), docs, reps, text_col))
             # the member has met its whole bucket
             left = rest.join(_sent(pivots.select("token", "sid")), ["token", "sid"], "left_anti")
             rest, old = _apart(left, roots), rest

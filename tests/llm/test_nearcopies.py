@@ -110,3 +110,38 @@ def test_wide_sketches_leave_similar_pairs_only(spark):
     like = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
     assert {x for x in pairs if like(*x) >= 0.8} <= got and all(like(*x) > 0.6 for x in got)
     assert any(N.wide_of(made[i]).size != N.wide_of(made[j]).size for i, j in got)
+
+
+def test_pairs_verified_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    """Of a group of near copies all pairs across components went to be verified."""
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    base, rows, verified, batches = [word() for _ in range(200)], [], [], N._batches
+    for i in range(120):
+        at = base[:]
+        for _ in range(2):
+            at[rng.randrange(len(at))] = word()
+        rows.append((i, " ".join(at)))
+
+    def counted(n, *args):
+        verified.append(n)
+        return batches(n, *args)
+
+    monkeypatch.setattr(N, "_batches", counted)
+    monkeypatch.setattr(N, "FEW", 100)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in N.near_copies(docs, rounds=0).collect()} == slow_least(rows)
+    assert 0 < sum(verified) <= 6 * len(rows)
+
+
+@pytest.mark.parametrize("local", [250_000, 100])
+def test_forest_spans_the_components_by_the_likeliest_pairs(spark, monkeypatch, local):
+    rng = random.Random(23)
+    rows = [(2 * i, 2 * i + 1, rng.randrange(40), 40 + rng.randrange(40), rng.random()) for i in range(1500)]
+    rows += [(9000 + i, 9100 + i, 100 + i, 101 + i, 0.5) for i in range(3)]
+    monkeypatch.setattr(N, "LOCAL", local)
+    got = [tuple(r) for r in N._forest(spark.createDataFrame(rows, "src long, dst long, u long, v long, far double").repartition(4), len(rows)).collect()]
+    u, v, far = (np.array([r[k] for r in rows]) for k in (2, 3, 4))
+    least = {rows[i] for i in N.spanning(u, v, far)}
+    assert len(least) == 82 and least <= set(got) <= set(rows)
+    assert local == 100 or set(got) == least
